@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recordspark.llm import groups, linking, survivorship
+from recordspark.llm import groups, linking, mixing, packing, subjects, survivorship
+from recordspark.llm.tokens import document_sizes
 from recordspark.runtime import Cut, table
 
 
@@ -32,7 +34,38 @@ def p4_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     return groups.crosswalk(table(spark, d, "identity_records"), table(spark, d, "match_pairs"), Cut(spark, "p4"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_golden_fans, p3_found, p3_pairs, p4_found, p4_crosswalk)}
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_limits"), Cut(spark, "p8"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_pack(spark, d), table(spark, d, "pack_limits"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"), Cut(spark, "p9"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    cut = Cut(spark, "p9")
+    drawn = cut.table(mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"), cut))
+    return mixing.share_report(drawn, table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.found_subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and tokens by subject; a document with several subjects counts for each."""
+    cut = Cut(spark, "p10")
+    found = p10_found(spark, d)
+    sizes = document_sizes(table(spark, d, "documents"))
+    both = sizes.join(found, "doc_id", "left").fillna("none", ["subject"])
+    return cut.table(both.groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_golden_fans, p3_found, p3_pairs, p4_found, p4_crosswalk, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
 
 _P4 = """
 WITH RECURSIVE last AS (
