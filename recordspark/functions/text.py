@@ -102,3 +102,69 @@ def jaro_winkler_one(a: str | None, b: str | None) -> float | None:
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro–Winkler similarity with the prefix boost only beyond a Jaro similarity of 0.7; null if either is null."""
     return F.pandas_udf(lambda x, y: pd.Series([jaro_winkler_one(p, q) for p, q in zip(x, y)], dtype="float64"), DoubleType())(a, b)
+
+
+# Formal first names, each followed by the short forms that stand for it.
+SHORT_FORMS = """
+william: bill will billy
+robert: rob bob bobby
+elizabeth: liz beth lizzie
+margaret: peggy maggie
+james: jim jimmy
+jennifer: jen jenny
+michael: mike mikey
+katherine: kate katie kathy
+joseph: joe joey
+christopher: chris topher
+daniel: dan danny
+matthew: matt
+nicholas: nick nico
+anthony: tony
+andrew: drew andy
+rebecca: becca becky
+patricia: pat trish
+richard: rick rich
+thomas: tom tommy
+charles: charlie chuck
+steven: steve
+edward: ed eddie ted
+alexander: alex xander
+samantha: sam
+benjamin: ben benny
+jonathan: jon jonny
+timothy: tim timmy
+gregory: greg
+jessica: jess jessie
+amanda: mandy
+susan: sue susie
+deborah: deb debbie
+kimberly: kim
+victoria: vicky tori
+ronald: ron ronnie
+kenneth: ken kenny
+joshua: josh
+zachary: zach
+nathaniel: nate nathan
+abigail: abby
+gabriella: gabby
+isabella: bella izzy
+alexandra: lexi sasha
+cassandra: cassie
+frederick: fred freddie
+lawrence: larry
+raymond: ray
+dorothy: dot dottie
+barbara: barb
+leonardo: leo
+"""
+
+
+def short_forms() -> dict[str, str]:
+    lines = (line.split(":") for line in SHORT_FORMS.strip().splitlines())
+    return {short: formal for formal, shorts in lines for short in shorts.split()}
+
+
+def canonical_first_name(folded: Column) -> Column:
+    """The formal name of a folded first name, itself where it is no short form."""
+    pairs = [F.lit(x) for kv in short_forms().items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), folded), folded)
