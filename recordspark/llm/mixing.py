@@ -7,8 +7,8 @@ expected source totals meet the targets. A document's rate is the projection of
 gathered, so the state of the fit is one number per mix and source, and a round is one aggregate over the documents:
 known ones enter as token sums by source, made once.
 
-Rates become whole copies: the whole part for all, one more for documents whose hash falls under a threshold, which is
-read off token sums by hash bucket (BUCKETS per mix and source), so drawn totals meet fitted ones to within a bucket.
+Rates become whole copies: the whole part for all, one more for documents in hash buckets (BUCKETS per mix and source)
+that are taken in order while their tokens fit, so drawn totals meet fitted ones to within a part of a bucket.
 
 The total of a mix is the largest at which every available source can give its share. A source of the mix that the
 corpus lacks keeps its row with nothing drawn; the others share in proportion. Sources outside the mix are not drawn.
@@ -100,10 +100,14 @@ def read_targets(targets: DataFrame) -> dict[str, dict[str, tuple[float, int]]]:
 
 
 def _soft_rate(step: dict[str, float], most: dict[str, int], names: list[str]) -> Column:
-    """Rate of a document with posterior `post`: its sources' gathered steps, between 0 and the repeats they allow."""
+    """Rate of a document with posterior `post`: its sources' gathered steps, between 0 and the repeats of its likeliest source."""
     at = {s: j + 1 for j, s in enumerate(names)}
     gathered = sum((F.element_at("post", at[s]) * float(v) for s, v in step.items() if s in at), F.lit(0.0))
-    cap = sum((F.element_at("post", at[s]) * float(most[s]) for s in step if s in at), F.lit(0.0))
+    likely = F.array_position("post", F.array_max("post"))
+    cap = F.lit(0.0)
+    for s in step:
+        if s in at:
+            cap = F.when(likely == at[s], float(most[s])).otherwise(cap)
     return F.greatest(F.lit(0.0), F.least(gathered, cap))
 
 
@@ -164,7 +168,6 @@ def rated(documents: DataFrame, targets: DataFrame, cut: Cut, folder: str = FOLD
     known, soft, names = _prepared(documents, cut, folder)
     wanted = sorted({s for want in mixes.values() for s in want})
     sums = {r["src"]: r["t"] for r in known.filter(F.col("src").isin(wanted)).groupBy("src").agg(F.sum("n_tokens").alias("t")).collect()} if wanted else {}
-    names = [s for s in names]
     steps = fit_rates(mixes, sums, soft, names)
     flat = [(mix, s, min(v, float(mixes[mix][s][1]))) for mix, step in steps.items() for s, v in step.items()]
     rates = F.broadcast(spark.createDataFrame(flat, "mix_id string, src string, rate double"))  # a row per mix and source
@@ -179,6 +182,19 @@ def rated(documents: DataFrame, targets: DataFrame, cut: Cut, folder: str = FOLD
     return rows, mixes, sums
 
 
+def _filling(buckets: list[tuple[int, float]], goal: float) -> list[int]:
+    """Buckets, taken in order where they still fit, whose tokens come closest to the goal; the last gap takes one more if that is closer."""
+    run, taken, rest = 0.0, [], []
+    for b, t in sorted(buckets):
+        if run + t <= goal:
+            run += t
+            taken.append(b)
+        else:
+            rest.append((abs(run + t - goal), b, t))
+    best = min(((abs(run + t - goal), b) for _, b, t in rest), default=(float("inf"), -1))
+    return taken + [best[1]] if best[0] < goal - run else taken
+
+
 def draw(documents: DataFrame, targets: DataFrame, cut: Cut, folder: str = FOLDER) -> DataFrame:
     """mix_id, doc_id, source, copies, n_tokens (of one copy) and unstated of every document drawn at least once."""
     rows, _, _ = rated(documents, targets, cut, folder)
@@ -189,17 +205,10 @@ def draw(documents: DataFrame, targets: DataFrame, cut: Cut, folder: str = FOLDE
     by: dict[tuple[str, str], list] = {}
     for r in got:  # at most BUCKETS rows a mix and source
         by.setdefault((r["mix_id"], r["source"]), []).append(r)
-    marks = []
-    for (mix, s), rs in by.items():
-        goal, run, best = sum(r["goal"] for r in rs), 0.0, (float("inf"), -1)
-        best = (abs(goal), -1)
-        for r in sorted(rs, key=lambda r: r["bucket"]):
-            run += r["t"]
-            best = min(best, (abs(goal - run), r["bucket"]))
-        marks.append((mix, s, best[1]))
-    limit = F.broadcast(documents.sparkSession.createDataFrame(marks, "mix_id string, source string, until int"))
-    copies = (whole + F.when((F.col("bucket") <= F.col("until")) & (frac > 0), 1).otherwise(0)).cast("int")
-    return parts.join(limit, ["mix_id", "source"]).withColumn("copies", copies).filter("copies > 0").select("mix_id", "doc_id", "source", "copies", "n_tokens", "unstated")
+    marks = [(mix, s, b) for (mix, s), rs in by.items() for b in _filling([(r["bucket"], r["t"]) for r in rs], sum(r["goal"] for r in rs))]
+    extra = F.broadcast(documents.sparkSession.createDataFrame(marks, "mix_id string, source string, bucket int").withColumn("extra", F.lit(1)))
+    copies = (whole + F.when(frac > 0, F.coalesce("extra", F.lit(0))).otherwise(0)).cast("int")
+    return parts.join(extra, ["mix_id", "source", "bucket"], "left").withColumn("copies", copies).filter("copies > 0").select("mix_id", "doc_id", "source", "copies", "n_tokens", "unstated")
 
 
 def share_report(drawn: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
