@@ -80,7 +80,7 @@ def jaro(a: str, b: str) -> float:
     if not hits:
         return 0.0
     other = [b[j] for j in range(len(b)) if used[j]]
-    swaps = sum(x != y for x, y in zip(hits, other)) / 2
+    swaps = sum(x != y for x, y in zip(hits, other)) // 2
     m = len(hits)
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
