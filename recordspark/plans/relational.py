@@ -262,7 +262,7 @@ ORACLES = {
     "anti_join_absent": "SELECT rec_id, link_state FROM identity_records r WHERE NOT EXISTS (SELECT 1 FROM fan_xref x WHERE x.source_system=r.source_system AND x.source_record_id=r.source_record_id)",
     "exists_disjunction": """SELECT DISTINCT order_id, m.match_id IS NULL AS no_match, s.e IS NULL AS no_subscriber FROM ticketing_orders o LEFT JOIN (SELECT DISTINCT match_id FROM fixtures) m ON m.match_id=o.match_id
  LEFT JOIN (SELECT DISTINCT lower(email) e FROM email_subscribers WHERE email IS NOT NULL) s ON s.e=lower(o.purchaser_email) WHERE m.match_id IS NULL OR s.e IS NULL""",
-    "latest_version_dedupe": r"""SELECT json_extract_string(payload,'$.Id') AS id, json_extract_string(payload,'$.SystemModstamp') AS stamp, row_id FROM (SELECT * FROM raw_crm_contacts WHERE json_valid(payload) AND NOT regexp_matches(payload, ':\s*-?(NaN|Infinity)') AND payload LIKE '{%}')
+    "latest_version_dedupe": r"""SELECT json_extract_string(payload,'$.Id') AS id, json_extract_string(payload,'$.SystemModstamp') AS stamp, row_id FROM (SELECT * FROM raw_crm_contacts WHERE json_valid(payload) AND NOT regexp_matches(payload, ',\s*[}\]]') AND NOT regexp_matches(payload, ':\s*-?(NaN|Infinity)') AND payload LIKE '{%}')
  WHERE json_extract_string(payload,'$.Id') LIKE '003%' AND json_extract_string(payload,'$.SystemModstamp') LIKE '20%Z' QUALIFY row_number() OVER (PARTITION BY json_extract_string(payload,'$.Id') ORDER BY json_extract_string(payload,'$.SystemModstamp') DESC, loaded_at DESC, row_id DESC) = 1""",
     "latest_by_loaded": "SELECT event_id, event_type, loaded_at FROM email_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY loaded_at DESC)=1",
     "distinct_on_latest": "SELECT DISTINCT ON (user_id, event_type) user_id, event_type, event_id, ts FROM events ORDER BY user_id, event_type, ts DESC, event_id DESC",
