@@ -1,8 +1,8 @@
 """Exact linkage rules, connected components and survivorship by modal values.
 
-Rules link each record to the least reference that shares its value (a star, not all pairs). Components are found by
-label propagation with pointer jumping: a vertex takes the least label among its neighbours, then that label's own
-label, until nothing changes; each round is a written table. Minima are aggregated before their shuffles and joined
+Rules link each record to the least reference that shares its value (a star, not all pairs). Components come
+from alternating large and small stars (Kiveris et al. 2014), which turn every component into a star around its least
+reference; each round is a written table. Minima are aggregated before their shuffles and joined
 back on the key, which the adaptive plan may split, so a value that a third of all records share is no single task.
 
 Null and blank values link nothing; records without links are clusters of their own; repeated records count each.
@@ -42,22 +42,31 @@ def exact_edges(people: DataFrame) -> DataFrame:
     return _star(named, "email").unionByName(_star(named, "phone", "surname")).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(vertices: DataFrame, edges: DataFrame, cut: Cut) -> DataFrame:
     """ref and root, the least ref of its component, for every ref of `vertices`; edges have anchor and ref."""
-    both = cut.table(edges.select(F.inline(F.array(F.struct(F.col("anchor").alias("v"), F.col("ref").alias("u")), F.struct(F.col("ref").alias("v"), F.col("anchor").alias("u"))))).distinct())
-    labels = cut.table(both.select("v").distinct().select("v", F.col("v").alias("label")))
+    low, high = F.least("anchor", "ref"), F.greatest("anchor", "ref")
+    e = cut.table(edges.filter("anchor <> ref").select(high.alias("u"), low.alias("v")).distinct())  # u > v
+    mark = _mark(e)
     for _ in range(MAX_ROUNDS):
-        seen = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
-        low = labels.join(seen, "v").select("v", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("v").alias("low"), F.col("label").alias("far"))
-        after = cut.table(low.join(jump, "low").select("v", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved")))
-        moved = after.filter("moved").limit(1).count()
-        cut.drop(labels)
-        labels = after.drop("moved")
-        labels._cut_path = after._cut_path
-        if not moved:
-            break
-    return vertices.select("ref").join(labels.withColumnRenamed("v", "ref"), "ref", "left").select("ref", F.coalesce("label", "ref").alias("root"))
+        # large star: every vertex ties its greater neighbours to the least of its neighbourhood
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: every vertex ties itself and its lesser neighbours to the least of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.inline(tied)).filter("u <> v").distinct()
+        after = cut.table(small)
+        cut.drop(e)
+        e, before, mark = after, mark, _mark(after)
+        if mark == before:
+            roots = e.groupBy("u").agg(F.min("v").alias("root"))
+            return vertices.select("ref").join(roots.withColumnRenamed("u", "ref"), "ref", "left").select("ref", F.coalesce("root", "ref").alias("root"))
+    raise RuntimeError("components did not settle")
 
 
 def exact_clusters(people: DataFrame, cut: Cut) -> DataFrame:

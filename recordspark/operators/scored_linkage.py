@@ -24,7 +24,7 @@ ATTRIBUTES = ["first_name_c", "last_name_f", "email", "phone", "zip", "birth_yea
 LEVELS = {"g_first": 4, "g_last": 4, "g_email": 3, "g_phone": 2, "g_zip": 2, "g_birth": 2}  # without the null level 0
 PATTERNS = math.prod(n + 1 for n in LEVELS.values())
 BLOCKS = [["email"], ["phone"], ["last_name_f", "zip"], ["first_name_c", "last_name_f"], ["birth_year", "zip"]]
-AUTO_MERGE, REVIEW, RECALL_OF_RULES, U_PAIRS = 0.9999, 0.999, 0.8, 4_000_000
+AUTO_MERGE, REVIEW, RECALL_OF_RULES, U_PAIRS = 0.9999, 0.999, 0.8, 500_000
 PLACEHOLDER_NAMES = 8
 # Parameters for scoring without training (m and u by level from 1 = no agreement up to exact).
 FIXED_M = {"g_first": [0.05, 0.05, 0.1, 0.8], "g_last": [0.05, 0.05, 0.1, 0.8], "g_email": [0.2, 0.1, 0.7], "g_phone": [0.2, 0.8], "g_zip": [0.15, 0.85], "g_birth": [0.1, 0.9]}

@@ -52,7 +52,7 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     for p in paths:
         first = spark.read.text(p).first()  # the header line of one file
         heads.setdefault(first[0] if first else "", []).append(p)
-    read = lambda ps: spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\u0000").csv(ps).withColumn("source_file", F.col("_metadata.file_name"))
+    read = lambda ps: spark.read.option("header", True).csv(ps).select("*", F.col("_metadata.file_name").alias("source_file")).fillna("")
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (read(ps) for ps in heads.values()))
 
 
