@@ -14,7 +14,7 @@ The total of a mix is the largest at which every available source can give its s
 corpus lacks keeps its row with nothing drawn; the others share in proportion. Sources outside the mix are not drawn.
 
 Defined results: sources are compared without case, surrounding blanks and with blanks as underscores; null and blank
-sources are unknown; empty texts weigh nothing and are not drawn; repeated doc_ids count once; null mixes, sources or
+sources are unknown; empty texts weigh nothing and are not drawn, nor are rows without a doc_id; repeated doc_ids count once; null mixes, sources or
 shares are left out; repeats below 1 forbid a source; extra columns are not read; empty tables give empty results.
 """
 
@@ -151,7 +151,7 @@ def fit_rates(mixes: dict[str, dict[str, tuple[float, int]]], known: dict[str, i
 
 
 def _prepared(documents: DataFrame, cut: Cut, folder: str) -> tuple[DataFrame, DataFrame | None, list[str]]:
-    docs = documents.select("doc_id", "text", plain_source(F.col("source")).alias("src"))
+    docs = documents.filter("doc_id is not null").select("doc_id", "text", plain_source(F.col("source")).alias("src"))
     model = train_sources(docs)
     sized = spread(docs).withColumn("n_tokens", token_count(F.col("text"), folder)).filter("n_tokens > 0")
     known = cut.table(sized.filter("src is not null").groupBy("doc_id").agg(F.max(F.struct("n_tokens", "src")).alias("r")).select("doc_id", "r.*"))

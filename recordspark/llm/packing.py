@@ -106,7 +106,7 @@ def pack(documents: DataFrame, limits: DataFrame, cut: Cut, folder: str = FOLDER
         return spark.createDataFrame([], empty)
     parts = pieces(cut.table(document_sizes(documents, folder)), caps)
     out = ["limit_id", "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens")]
-    alone = parts.filter("is_full or size = 0").select(*out, F.when(F.col("is_full"), F.concat(F.lit("d"), "doc_id", F.lit("-"), "piece")).alias("container_id"))
+    alone = parts.filter("is_full or size = 0").select(*out, F.when(F.col("is_full"), F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("-"), "piece")).alias("container_id"))
     items = parts.filter("not is_full and size > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"))
     shards = items.groupBy("limit_id", "size", "shard").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("limit_id", "size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))

@@ -9,7 +9,7 @@ held-out labelled documents. A document has the subjects that at least SHARE of
 The fit uses at most MAX_LABELLED documents with labels (those with the least hash); scoring covers whole texts of
 all documents in Arrow batches, with the weight matrix, of fixed size, as a broadcast.
 
-Defined results: null, empty and blank texts have no subject; repeated texts get equal subjects; very long texts are
+Defined results: null, empty and blank texts, and rows without a doc_id, have no subject; repeated texts get equal subjects; very long texts are
 read whole; labels with null or unknown values are left out; without labels the result is empty; extra columns are
 not read.
 """
@@ -221,7 +221,7 @@ def subjects_of(documents: DataFrame, model: SubjectModel) -> DataFrame:
             d, s = np.nonzero(document_subjects(m, pdf["text"].tolist(), hasher))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "subject": np.array(m.names, dtype=object)[s]})
 
-    return documents.select("doc_id", "text").filter("text is not null").mapInPandas(score, f"doc_id {kind}, subject string")
+    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(score, f"doc_id {kind}, subject string")
 
 
 def spread(documents: DataFrame) -> DataFrame:

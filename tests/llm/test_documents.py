@@ -124,3 +124,13 @@ def test_subject_edges(spark):
     assert all(k > 10**9 + 2 for k, _ in got) and {s for k, s in got if k == 10**9 + 4} == {s for k, s in got if k == 10**9 + 5}
     assert subjects.found_subjects(both, labels.limit(0), known).count() >= 0
     assert subjects.found_subjects(both.limit(0), labels, known).count() == 0
+
+
+def test_null_ids(spark, cut):
+    d = docs(spark, [(None, "some words here " * 50, "a"), (None, None, None), (2**60 + 1, "some words", "a")])
+    goal = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_id string, source string, target_share double, max_repeat int")
+    p = packing.pack(d, spark.createDataFrame([(1, 20)], "limit_id int, capacity_tokens int"), cut).collect()
+    assert max(sum(r.n_tokens for r in p if r.container_id == c) for c in {r.container_id for r in p if r.container_id}) <= 20
+    assert [r.doc_id for r in mixing.draw(d, goal, Cut(spark, "t")).collect()] == [2**60 + 1]
+    model = subjects.fit_subjects(["some words", "other text"] * 5, [{"a"}, {"b"}] * 5, ["a", "b"], [("a", "some words"), ("b", "other text")])
+    assert {r.doc_id for r in subjects.subjects_of(d, model).collect()} <= {2**60 + 1}
