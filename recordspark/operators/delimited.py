@@ -2,8 +2,8 @@
 
 All text work is JVM-side; only the per-file column metadata (a row per file and column) goes to Python.
 
-Null, empty and hot input: a null payload counts as an empty line; a line without a header in its file fails
-as `no_header`; the unit separator U+001F inside a line is read as U+241F. Profiles are aggregated in
+Null, empty and hot input: a null payload counts as an empty line; a line without a file, or without a header in its
+file, fails as `no_header`; the unit separator U+001F inside a line is read as U+241F. Profiles are aggregated in
 `SKETCH` parts per file before they are brought together, so a file with a third of all rows is no hot group.
 """
 
@@ -80,7 +80,7 @@ def _unquoted(cell: Column) -> Column:
 def read_headers(raw: DataFrame) -> DataFrame:
     """One row per file: source_file, delimiter, names. Of several header rows the one with the least text counts."""
     text = F.regexp_replace(_line(F.min("payload")), "^﻿", "")
-    head = raw.filter("line_no = 1").groupBy("source_file").agg(text.alias("head"))
+    head = raw.filter("line_no = 1 and source_file is not null").groupBy("source_file").agg(text.alias("head"))
     bare = F.regexp_replace("head", '"[^"]*"', "")
     count = lambda d: F.length(bare) - F.length(F.translate(bare, d, ""))
     most = F.greatest(*[count(d) for d in DELIMITERS])

@@ -170,3 +170,11 @@ def test_unified_types(spark, cut):
 
 def test_name_similarity():
     assert name_similarity("billingZip", "Billing Zip") == 1 and name_similarity("sku", "currency") < 0.3
+
+
+def test_nulls_in_any_column(spark, cut):
+    raw = lines(spark, [HEAD, GOOD])
+    odd = spark.createDataFrame([(None, GOOD, None, None, None), (7, HEAD, None, 1, None), (None, GOOD, "merch_x_2025-01.csv", None, None), (9, GOOD.replace("M-1", "X"), "merch_x_2025-01.csv", None, None)], LINE)
+    got = sorted(((r.row_id or 0), r.reason or "") for r in P.judged_lines(raw.unionByName(odd), cut)[0].select("row_id", "reason").collect())
+    assert got == [(0, ""), (0, "no_header"), (2, ""), (9, "order_number: does not start with M-")]
+    assert S.drift_report(raw.unionByName(odd), Cut(spark, "t")).count() == 0
