@@ -190,7 +190,10 @@ def true_values(records: DataFrame, xref: DataFrame, cut: Cut) -> DataFrame:
 
 def golden_values(records: DataFrame, xref: DataFrame, cut: Cut) -> DataFrame:
     """The value of each fan and field that is right today: of those judged true the one that began last; of dates of birth the likeliest."""
-    t = true_values(records, xref, cut)
+    return _newest(true_values(records, xref, cut))
+
+
+def _newest(t: DataFrame) -> DataFrame:
     rank = F.when(F.col("field_name") == "dob", F.struct(F.col("probability").alias("a"), F.col("last").alias("b"), F.col("value").alias("c"))).otherwise(
         F.struct(F.unix_micros(F.col("first").cast("timestamp")).cast("double").alias("a"), F.col("last").alias("b"), F.col("value").alias("c"))
     )
@@ -200,7 +203,7 @@ def golden_values(records: DataFrame, xref: DataFrame, cut: Cut) -> DataFrame:
 def golden_fans(records: DataFrame, xref: DataFrame, cut: Cut) -> DataFrame:
     """One row per fan: email, phone and dob of today, all e-mail addresses judged true, sources and record count."""
     t = cut.table(true_values(records, xref, cut))
-    best = golden_values(records, xref, cut).groupBy("fan_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in SYSTEMS])
+    best = _newest(t).groupBy("fan_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in SYSTEMS])
     mails = t.filter("field_name = 'email'").groupBy("fan_id").agg(F.array_sort(F.collect_set("value")).alias("emails"))
     own = members(records, xref).groupBy("fan_id").agg(F.array_join(F.array_sort(F.collect_set("source_system")), ",").alias("sources"), F.count("*").alias("record_count"))
     return own.join(best, "fan_id", "left").join(mails, "fan_id", "left").withColumn("emails", F.array_join("emails", ",")).withColumn("dob", F.col("dob").cast("date"))
