@@ -1,4 +1,4 @@
-"""python -m recordspark.cli COMMAND --source DIR --warehouse DIR: info, transform, unify, dq, evaluate, pipeline."""
+"""python -m recordspark.cli COMMAND --source DIR --warehouse DIR: info, ingest, transform, unify, dq, evaluate, pipeline."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ import sys
 
 from pyspark.sql import functions as F
 
-from recordspark.operators import clusters as C
 from recordspark.operators import evaluation as E
 from recordspark.operators import quality as Q
+from recordspark.ops import ingest as I
 from recordspark.ops import models as M
 from recordspark.ops import runner as R
 from recordspark.session import local_session
@@ -37,12 +37,15 @@ def _gate(ctx: R.Context) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="recordspark", description=__doc__)
-    p.add_argument("command", choices=["info", "transform", "unify", "dq", "evaluate", "pipeline"])
+    p.add_argument("command", choices=["info", "ingest", "transform", "unify", "dq", "evaluate", "pipeline"])
     p.add_argument("--source", default="/root/testdata/sf0.01")
     p.add_argument("--warehouse", default="warehouse")
     p.add_argument("--mode", choices=["deterministic", "full"], default="full")
     p.add_argument("--select", nargs="*")
     p.add_argument("--report")
+    p.add_argument("--drop-zone")
+    p.add_argument("--months", nargs=2, metavar=("FIRST", "LAST"), default=(None, None))
+    p.add_argument("--force", action="store_true")
     args = p.parse_args(argv)
     if args.command == "info":
         for k, v in R.masked({"source": args.source, "warehouse": args.warehouse, **{k: v for k, v in os.environ.items() if k.startswith("RECORDSPARK_")}}).items():
@@ -50,7 +53,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     ctx = R.Context(local_session(), args.source, os.path.abspath(args.warehouse))
     models = M.models(args.mode)
-    if args.command == "transform":
+    if args.command == "ingest":
+        for source, good, bad in I.ingest(ctx, args.drop_zone or args.source, args.select, *args.months, force=args.force):
+            print(f"{source}: {good} accepted, {bad} rejected")
+    elif args.command == "transform":
         try:
             done = R.run(ctx, models, select=args.select)
         except ValueError as e:

@@ -24,7 +24,7 @@ ATTRIBUTES = ["first_name_c", "last_name_f", "email", "phone", "zip", "birth_yea
 LEVELS = {"g_first": 4, "g_last": 4, "g_email": 3, "g_phone": 2, "g_zip": 2, "g_birth": 2}  # without the null level 0
 PATTERNS = math.prod(n + 1 for n in LEVELS.values())
 BLOCKS = [["email"], ["phone"], ["last_name_f", "zip"], ["first_name_c", "last_name_f"], ["birth_year", "zip"]]
-AUTO_MERGE, REVIEW, RECALL_OF_RULES, U_PAIRS = 0.9999, 0.999, 0.8, 500_000
+AUTO_MERGE, REVIEW, RECALL_OF_RULES, U_PAIRS, U_RECORDS = 0.9999, 0.999, 0.8, 500_000, 200_000
 PLACEHOLDER_NAMES = 8
 # Parameters for scoring without training (m and u by level from 1 = no agreement up to exact).
 FIXED_M = {"g_first": [0.05, 0.05, 0.1, 0.8], "g_last": [0.05, 0.05, 0.1, 0.8], "g_email": [0.2, 0.1, 0.7], "g_phone": [0.2, 0.8], "g_zip": [0.15, 0.85], "g_birth": [0.1, 0.9]}
@@ -144,14 +144,14 @@ def em_session(patterns: np.ndarray, counts: np.ndarray, u: dict, held: list[str
 
 
 def train(ready: DataFrame, cut: Cut, seed: int = 42) -> tuple[dict, dict, float]:
-    """(m, u, prior). u from a seeded sample of record pairs (at most U_PAIRS, a documented bound), prior from the exact rules."""
+    """(m, u, prior). u from random pairs (about U_PAIRS among at most U_RECORDS records, documented bounds), prior from the exact rules."""
     n = ready.count()
     each = ready.withColumn("n", F.lit(1))
-    share = min(1.0, math.sqrt(U_PAIRS) / max(1, n))
-    sample = each.sample(fraction=share, seed=seed) if share < 1 else each
-    k = F.pmod(F.xxhash64("ref"), F.lit(2))  # one half against the other: pairs of different records only
-    left, right = sample.filter(k == 0), sample.filter(k == 1)
-    random = left.select(F.struct(*each.columns).alias("l")).crossJoin(F.broadcast(right.select(F.struct(*each.columns).alias("r"))))
+    sample = each.sample(fraction=min(1.0, U_RECORDS / max(1, n)), seed=seed) if n > U_RECORDS else each
+    drawn = min(n, U_RECORDS)
+    buckets = max(1, drawn * drawn // U_PAIRS)  # two unrelated hashes meet in a bucket by chance: pairs at random, by an equi-join
+    side = lambda k: sample.select(F.struct(*each.columns).alias("lr"[k]), F.pmod(F.xxhash64(F.lit(seed + k), "ref"), F.lit(buckets)).alias("bucket"))
+    random = side(0).join(side(1), "bucket").filter("l.ref <> r.ref")
     p, c = pattern_counts(agreement(random))
     u = {}
     for i, g in enumerate(LEVELS):

@@ -168,7 +168,7 @@ def _edges_sql(people: str) -> str:
  UNION SELECT anchor, ref FROM (SELECT ref, min(ref) OVER (PARTITION BY phone, surname) AS anchor FROM {people} WHERE phone IS NOT NULL AND surname IS NOT NULL) WHERE ref <> anchor)"""
 
 
-# A label walks from each vertex to smaller references only where it is the least so far, which keeps the recursion short.
+# Everything that a vertex reaches, by recursion over distinct rows; fit for the small tables of the comparison.
 _REACH = """sym AS (SELECT anchor AS v, ref AS u FROM edges UNION SELECT ref, anchor FROM edges),
 walk AS (SELECT v, v AS o FROM sym UNION SELECT w.v, s.u FROM walk w JOIN sym s ON s.v = w.o), roots AS (SELECT v, min(o) AS root FROM walk GROUP BY 1)"""
 _CLUSTERS = f"WITH RECURSIVE {_PEOPLE}, {_edges_sql('people')}, {_REACH}, clusters AS (SELECT ref, coalesce(root, ref) AS root FROM people LEFT JOIN roots ON v = ref)"

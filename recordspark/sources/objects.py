@@ -1,8 +1,8 @@
 """A paged object API as a Spark data source, with its filter on the change stamp pushed down.
 
-`ObjectSource` reads pages of JSON objects from an endpoint given as a function or a folder of JSON lines, so the same
-reader serves a live service and an offline copy. `query_text` builds the query such a service takes, `run_query`
-answers it over a DataFrame: filter, sort by stamp and id, limit, pages.
+`ObjectSource` reads objects from a service (client credentials once, then pages until the service says done) or from a
+folder of JSON lines, so the same reader serves a live service and an offline copy. `query_text` builds the query such
+a service takes, `run_query` answers it over a DataFrame: filter, sort by stamp and id, limit, pages.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import pathlib
 import re
+import urllib.parse
+import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -46,14 +48,34 @@ def run_query(objects: DataFrame, text: str, stamp: str, key: str, page: int, pa
     return top.withColumn("_n", n).filter((F.col("_n") > page * page_size) & (F.col("_n") <= (page + 1) * page_size)).drop("_n")
 
 
+class ServiceClient:
+    """Token by client credentials, then pages: each answer has records, done and the address of the next page."""
+
+    def __init__(self, url: str, client: str, secret: str, timeout: float = 30.0) -> None:
+        self.url, self.timeout = url.rstrip("/"), timeout
+        body = urllib.parse.urlencode({"grant_type": "client_credentials", "client_id": client, "client_secret": secret}).encode()
+        self.token = self._json(urllib.request.Request(f"{self.url}/services/oauth2/token", data=body))["access_token"]
+
+    def _json(self, request: urllib.request.Request) -> dict:
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)
+
+    def query_all(self, text: str) -> Iterator[dict]:
+        at = "/services/data/v60.0/query?" + urllib.parse.urlencode({"q": text})
+        while at:
+            page = self._json(urllib.request.Request(self.url + at, headers={"Authorization": f"Bearer {self.token}"}))
+            yield from page["records"]
+            at = None if page["done"] else page["nextRecordsUrl"]
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str | None) -> None:
         self.path = path
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str, kind: str) -> None:
-        self.folder, self.kind, self.after = folder, kind, None
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options, self.after = dict(options), None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -62,9 +84,16 @@ class _Reader(DataSourceReader):
             yield f  # Spark checks every row again, which costs nothing beside the read
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(str(p)) for p in sorted(pathlib.Path(self.folder, self.kind).glob("*.jsonl"))]
+        if "url" in self.options:
+            return [_Part(None)]
+        return [_Part(str(p)) for p in sorted(pathlib.Path(self.options["folder"], self.options["kind"]).glob("*.jsonl"))]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
+        if partition.path is None:
+            client = ServiceClient(self.options["url"], self.options.get("client", ""), self.options.get("secret", ""))
+            for doc in client.query_all(query_text(self.options["kind"], self.after)):
+                yield doc.get("Id"), doc.get(STAMP), json.dumps(doc)
+            return
         with open(partition.path, encoding="utf-8") as f:
             for line in f:
                 if line.strip():
@@ -75,7 +104,7 @@ class _Reader(DataSourceReader):
 
 
 class ObjectSource(DataSource):
-    """format("objects"): options folder and kind; columns id, modified_at and payload."""
+    """format("objects"): options kind and folder, or kind, url, client and secret; columns id, modified_at and payload."""
 
     @classmethod
     def name(cls) -> str:
@@ -85,7 +114,7 @@ class ObjectSource(DataSource):
         return "id string, modified_at string, payload string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["folder"], self.options["kind"])
+        return _Reader(self.options)
 
 
 def register(spark) -> None:

@@ -59,3 +59,64 @@ def test_reports_and_secrets(tmp_path, capsys):
     assert R.masked({"api_token": "x", "host": "h", "password": ""}) == {"api_token": "***", "host": "h", "password": ""}
     assert cli.main(["info"]) == 0 and "source" in capsys.readouterr().out
 
+
+
+def test_ingest_files(spark, tmp_path):
+    from recordspark.ops.ingest import ingest
+
+    zone, wh = tmp_path / "zone", str(tmp_path / "wh")
+    (zone / "ticketing").mkdir(parents=True)
+    (zone / "email").mkdir()
+    line = lambda i, total=5: json.dumps({"order_id": f"T-{i}", "match_id": "MTCH-1", "purchased_at": "2025-01-01T00:00:00Z", "qty": 1, "total": total, "purchaser_name": "Ann", "purchaser_email": "a@b.c"})
+    jan = zone / "ticketing" / "orders_2025-01.jsonl"
+    jan.write_text("\n".join([line(1), line(2, -1)]) + "\n")
+    (zone / "ticketing" / "orders_2025-03.jsonl").write_text(line(3) + "\n")
+    (zone / "email" / "subscribers.csv").write_text("subscriber_id,email,signup_date,status\nS-1,a@b.c,2025-01-01,subscribed\nS-2,,2025-01-01,subscribed\n")
+    run = lambda **k: ingest(R.Context(spark, str(zone), wh), str(zone), **k)
+    assert run(first="2025-01", last="2025-02") == [("ticketing_orders", 1, 1), ("email_subscribers", 1, 1)]
+    assert run() == [("ticketing_orders", 1, 0)] and run() == []  # the rest of the months, then nothing new
+    jan.write_text("\n".join([line(1), line(2)]) + "\n")
+    assert run() == [("ticketing_orders", 2, 0)]  # a corrected file replaces its rows and leaves quarantine
+    raw = spark.read.parquet(f"{wh}/raw/ticketing_orders")
+    assert raw.count() == 3 and spark.read.schema("payload string, reason string, source_file string").parquet(f"{wh}/quarantine/ticketing_orders").count() == 0
+    assert run(sources=["email_subscribers"], force=True) == [("email_subscribers", 1, 1)]
+
+
+def test_object_service(spark):
+    import threading
+    import urllib.parse
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from recordspark.sources import objects as O
+
+    rows = [{"Id": f"{i:03d}", "SystemModstamp": f"2025-01-{i:02d}"} for i in range(1, 29)]
+
+    class Service(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def answer(self, doc, code=200):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(doc).encode())
+
+        def do_POST(self):
+            form = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())
+            self.answer({"access_token": "t"} if form["client_secret"] == ["s"] else {}, 200 if form["client_secret"] == ["s"] else 401)
+
+        def do_GET(self):
+            q = urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query)
+            _, after, _ = O.parse_query(q["q"][0])
+            own, start = [r for r in rows if not after or r["SystemModstamp"] > after], int(q.get("from", ["0"])[0])
+            done = start + 10 >= len(own)
+            nxt = f"/services/data/v60.0/query?{urllib.parse.urlencode({'q': q['q'][0], 'from': start + 10})}"
+            self.answer({"records": own[start : start + 10], "done": done} | ({} if done else {"nextRecordsUrl": nxt}), 200 if self.headers["Authorization"] == "Bearer t" else 401)
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        O.register(spark)
+        df = spark.read.format("objects").option("url", f"http://127.0.0.1:{server.server_port}").option("kind", "Contact").option("client", "c").option("secret", "s").load()
+        assert df.count() == 28 and df.filter("modified_at > '2025-01-20'").count() == 8
+    finally:
+        server.shutdown()
