@@ -9,6 +9,7 @@ file, fails as `no_header`; the unit separator U+001F inside a line is read as U
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -131,6 +132,7 @@ def _grams(s: str) -> set[str]:
     return {s[i : i + 3] for i in range(len(s) - 2)}
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def name_similarity(a: str, b: str) -> float:
     a, b = _plain(a), _plain(b)
     if a == b:
@@ -151,10 +153,14 @@ def _form_vector(r: pd.Series) -> np.ndarray:
     return v
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _names_like_parts(name: str) -> tuple[float, ...]:
+    return tuple(max(name_similarity(name, x) for x in names) for names in PART_NAMES.values())
+
+
 def _part_scores(name: str, form: np.ndarray, n: int) -> dict[str, float]:
     out = {}
-    for part, names in PART_NAMES.items():
-        by_name = max(name_similarity(name, x) for x in names)
+    for part, by_name in zip(PART_NAMES, _names_like_parts(name)):
         by_form = form[FORMS.index(PART_FORM[part])] if n else 0.4
         out[part] = (1.2 if by_name == 1 else 0.6 * by_name) + 0.5 * by_form
     return out

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordspark.operators.delimited import DECIMAL, column_metadata, file_parts, is_instant, mail_shape, profile, read_headers, split_lines
-from recordspark.runtime import Cut
+from recordspark.runtime import Cut, spread
 
 RAW_LINE = ["row_id", "payload", "source_file", "line_no"]
 CHECKED = ["order_number", "created_at", "customer_email", "billing_name", "sku", "item_name", "quantity", "unit_price", "line_total"]
@@ -51,17 +51,16 @@ def _failed(cells: DataFrame, bad: DataFrame) -> DataFrame:
 def parsed_lines(raw: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
     """(lines with values, names, parts, time_form and broken; metadata of every file's columns)."""
     raw = raw.select(*RAW_LINE)
-    headers = read_headers(raw)
-    lines = split_lines(raw, headers)
+    headers = cut.table(read_headers(raw))
+    lines = cut.table(split_lines(spread(raw), headers))
     meta = cut.table(column_metadata(headers, profile(lines.filter("broken is null"))))
-    parts = file_parts(meta)
+    parts = cut.table(file_parts(meta))
     return lines.join(parts, "source_file", "left"), meta
 
 
 def judged_lines(raw: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
     """All records with `reason` (null where the line loads), and the column metadata."""
     lines, meta = parsed_lines(raw, cut)
-    lines = cut.table(lines)
     whole = lines.filter("broken is null")
     kind = F.transform("parts", lambda p: F.when(p == "created_at", F.concat(p, F.lit(":"), F.col("time_form"))).when(p.isin(CHECKED), p))
     cells = (

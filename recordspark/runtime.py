@@ -64,3 +64,9 @@ def blank_to_null(c: Column) -> Column:
     """Null for null, empty and blank strings, else the string without surrounding white space."""
     t = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
     return F.when(t != "", t)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The scan as it is; spread over the cores only where it has fewer partitions than these (a small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
