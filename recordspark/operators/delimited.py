@@ -166,19 +166,78 @@ def _part_scores(name: str, form: np.ndarray, n: int) -> dict[str, float]:
     return out
 
 
-def assign_parts(columns: pd.DataFrame) -> list[str | None]:
-    """The part of each column of one file: an optimal matching of columns and parts by names and content."""
+def assign_parts(columns: pd.DataFrame, carried: list[str | None] | None = None) -> list[str | None]:
+    """The part of each column of one file: an optimal matching of columns and parts by names, content and the parts carried along."""
     parts = list(PART_NAMES)
     score = np.zeros((len(columns), len(parts)))
     for i, (_, r) in enumerate(columns.iterrows()):
         s = _part_scores(r["name"], _form_vector(r), r["n"])
-        score[i] = [s[p] for p in parts]
+        score[i] = [s[p] + (CARRIED if carried and carried[i] == p else 0.0) for p in parts]
     out: list[str | None] = [None] * len(columns)
     for i, j in best_assignment(score, 0.85):
         out[i] = parts[j]
     return out
 
 
+LEAST_LIKENESS = 0.5
+LISTED = 0.2  # what the list of names adds to the likeness of two columns, or takes from it
+CARRIED = 1.0  # what the part of the column in the file before adds
+
+
+def _sketch(r: pd.Series) -> dict[int, int]:
+    s = r["sketch"]
+    return {int(x["part"]): int(x["h"]) for x in s} if s is not None and len(s) else {}
+
+
+def _form_likeness(a: pd.Series, b: pd.Series) -> float:
+    """From 0 to 1, how alike two columns with values are by forms and types; numbers of another form are alike to 0.7."""
+    u, v = _form_vector(a), _form_vector(b)
+    shared = [FORMS.index(k) for k in ("order", "time", "mail", "zip", "code") if min(u[FORMS.index(k)], v[FORMS.index(k)]) >= 0.8]
+    gap = np.abs(u - v)[shared or slice(None)]
+    if not shared:
+        gap = np.append(gap, [abs(a[k] / a["n"] - b[k] / b["n"]) for k in ("n_space", "n_long", "n_lower", "n_int", "n_dec")])
+    noise = 0.5 / np.sqrt(min(a["n"], b["n"]))
+    strict = 1 - min(1.0, max(0.0, float(gap.max()) - noise))
+    number = min(max(x[FORMS.index(k)] for k in ("zip", "count", "number")) * (r["n_dec"] / r["n"]) for x, r in ((u, a), (v, b)))
+    return max(strict, 0.7 * number)
+
+
+def likeness(a: pd.Series, b: pd.Series, part_a: str | None, part_b: str | None) -> float:
+    """How alike two columns are by value sketches, forms, types and names; parts known of both add or take LISTED."""
+    by_name = name_similarity(a["name"], b["name"])
+    bonus = 0.0 if not part_a or not part_b else LISTED if part_a == part_b else -LISTED
+    if not a["n"] or not b["n"]:
+        return by_name + (0.5 if bonus > 0 else bonus)
+    x, y = _sketch(a), _sketch(b)
+    both = [k for k in x if k in y]
+    overlap = sum(x[k] == y[k] for k in both) / max(1, len(both))
+    return 0.5 * _form_likeness(a, b) + 0.3 * max(overlap, by_name) + 0.2 * overlap + bonus
+
+
+def matched_files(columns: pd.DataFrame) -> list[tuple[str, pd.DataFrame, list[str | None], dict[str, str]]]:
+    """The files of one feed in order of month: name, columns by position, their parts, and the old name of each renamed column.
+
+    Names that are the same in both files stay the same column; the others are matched by `likeness`. A column keeps the
+    part that it had in the file before.
+    """
+    out, before = [], None
+    by_file = {f: g.sort_values("pos") for f, g in columns.groupby("source_file", sort=False)}
+    for f in columns[["month", "source_file"]].drop_duplicates().sort_values(["month", "source_file"])["source_file"]:
+        g, renamed = by_file[f], {}
+        parts = assign_parts(g)
+        now = {r["name"]: r for _, r in g.drop_duplicates("name").iterrows()}
+        if before is not None:
+            old, had = before
+            listed = dict(zip(g["name"], parts))
+            gone, fresh = [k for k in old if k not in now], [k for k in now if k not in old]
+            score = np.array([[likeness(old[a], now[b], had[a], listed[b]) for b in fresh] for a in gone]).reshape(len(gone), len(fresh))
+            renamed = {fresh[j]: gone[i] for i, j in best_assignment(score, LEAST_LIKENESS)}
+            parts = assign_parts(g, [had.get(renamed.get(k, k)) for k in g["name"]])
+        out.append((f, g, parts, renamed))
+        before = (now, {k: p for k, p in sorted(zip(g["name"], parts), key=lambda x: x[1] or "")})
+    return out
+
+
 COUNTS = ["n", "n_int", "n_dec", "n_iso", "n_ts", "n_epoch", "n_order", "n_mail", "n_zip", "n_code", "n_small", "n_space", "n_long", "n_alpha", "n_lower"]
 
 
@@ -200,11 +259,9 @@ def file_parts(meta: DataFrame) -> DataFrame:
 
     def per_feed(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for f, g in pdf.groupby("source_file", sort=False):
-            g = g.sort_values("pos")
-            parts = assign_parts(g)
+        for f, g, parts, _ in matched_files(pdf):
             form = next(("epoch" if r["n_epoch"] > r["n_iso"] else "iso" for p, (_, r) in zip(parts, g.iterrows()) if p == "created_at"), "iso")
             rows.append((f, [p or "" for p in parts], form))
         return pd.DataFrame(rows, columns=["source_file", "parts", "time_form"])
 
-    return meta.drop("sketch").groupBy("feed").applyInPandas(per_feed, "source_file string, parts array<string>, time_form string")
+    return meta.groupBy("feed").applyInPandas(per_feed, "source_file string, parts array<string>, time_form string")

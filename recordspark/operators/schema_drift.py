@@ -10,17 +10,14 @@ none until a file brings values. Column metadata is a row per file and column, w
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.functions.assign import best_assignment
-from recordspark.operators.delimited import COUNTS, PART_NAMES, _form_vector, assign_parts, column_metadata, name_similarity, profile, read_headers
+from recordspark.operators.delimited import COUNTS, PART_NAMES, column_metadata, matched_files, profile, read_headers
 from recordspark.operators.parse_failures import judged_lines
 from recordspark.runtime import Cut
 
-LEAST_LIKENESS = 0.5
 CHANGE = "source_file string, change_kind string, old_name string, new_name string"
 
 
@@ -32,60 +29,26 @@ def narrowest_type(r: pd.Series) -> str | None:
     return "integer" if r["n_int"] == n else "decimal" if r["n_dec"] == n else "timestamp" if r["n_ts"] == n else "text"
 
 
-def _sketch(r: pd.Series) -> dict[int, int]:
-    s = r["sketch"]
-    return {int(x["part"]): int(x["h"]) for x in s} if s is not None and len(s) else {}
-
-
-def likeness(a: pd.Series, b: pd.Series, part_a: str | None, part_b: str | None) -> float:
-    """How alike the contents and names of two columns are, from 0 to 1; different parts are never alike."""
-    if part_a and part_b:
-        return 0.9 + 0.1 * name_similarity(a["name"], b["name"]) if part_a == part_b else 0.0
-    if part_a or part_b:
-        return 0.0
-    by_name = name_similarity(a["name"], b["name"])
-    if not a["n"] or not b["n"]:
-        return by_name
-    x, y = _sketch(a), _sketch(b)
-    both = [k for k in x if k in y]
-    overlap = sum(x[k] == y[k] for k in both) / max(1, len(both))
-    u, v = _extra_vector(a), _extra_vector(b)
-    form = 1 - min(1.0, float(np.abs(u - v).max()))
-    return 0.5 * form + 0.3 * max(overlap, by_name) + 0.2 * overlap
-
-
-def _extra_vector(r: pd.Series) -> np.ndarray:
-    n = max(1, r["n"])
-    return np.concatenate([_form_vector(r), [r["n_space"] / n, r["n_long"] / n, r["n_lower"] / n, r["n_int"] / n, r["n_dec"] / n]])
-
-
 def feed_changes(columns: pd.DataFrame) -> pd.DataFrame:
     """Changes of one feed's files in order of month; the first has none."""
     out, before, kinds = [], None, {}
-    order = columns[["month", "source_file"]].drop_duplicates().sort_values(["month", "source_file"])
-    by_file = {f: g.sort_values("pos").drop_duplicates("name") for f, g in columns.groupby("source_file", sort=False)}
-    for f in order["source_file"]:
-        g = by_file[f]
-        now = {r["name"]: r for _, r in g.iterrows()}
-        parts = dict(zip(g["name"], assign_parts(g)))
+    for f, g, _, renamed in matched_files(columns):
+        now = {r["name"]: r for _, r in g.drop_duplicates("name").iterrows()}
         if before is None:
             kinds = {k: narrowest_type(r) for k, r in now.items()}
         else:
-            old, old_parts = before
-            gone, fresh = [k for k in old if k not in now], [k for k in now if k not in old]
-            score = np.array([[likeness(old[a], now[b], old_parts[a], parts[b]) for b in fresh] for a in gone]).reshape(len(gone), len(fresh))
-            renamed = {fresh[j]: gone[i] for i, j in best_assignment(score, LEAST_LIKENESS)}
+            gone, fresh = [k for k in before if k not in now], [k for k in now if k not in before]
             out += [(f, "renamed", a, b) for b, a in renamed.items()]
             out += [(f, "removed", a, "") for a in gone if a not in renamed.values()]
             out += [(f, "added", "", b) for b in fresh if b not in renamed]
             had, kinds = kinds, {}
             for k, r in now.items():
-                was = had.get(renamed.get(k, k)) if k in old or k in renamed else None
+                was = had.get(renamed.get(k, k)) if k in before or k in renamed else None
                 is_now = narrowest_type(r) or was
                 if was and is_now != was:
                     out.append((f, "retyped", k, k))
                 kinds[k] = is_now
-        before = (now, parts)
+        before = now
     return pd.DataFrame(out, columns=["source_file", "change_kind", "old_name", "new_name"])
 
 

@@ -3,6 +3,7 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordspark.operators import parse_failures as P
 from recordspark.operators import schema_drift as S
@@ -178,3 +179,17 @@ def test_nulls_in_any_column(spark, cut):
     got = sorted(((r.row_id or 0), r.reason or "") for r in P.judged_lines(raw.unionByName(odd), cut)[0].select("row_id", "reason").collect())
     assert got == [(0, ""), (0, "no_header"), (2, ""), (9, "order_number: does not start with M-")]
     assert S.drift_report(raw.unionByName(odd), Cut(spark, "t")).count() == 0
+
+
+def test_unlisted_names_are_matched_by_content(spark, cut):
+    """Renames to names that no list has keep the column and its part, in the next file too."""
+    row = lambda i, s: f"M-{100000 + i},2025-01-0{i % 9 + 1}T00:00:00Z,p{i}@b.example,0{1100 + i % 8},{i % 5 + 1},{s}"
+    heads = ["order_number,created_at,customer_email,billing_zip,quantity,gift_note", "order_number,wann,post_an,plz,number_of_items,gift_note", "order_number,wann,post_an,plz,number_of_items,loyalty_id"]
+    files = [lines(spark, [h] + [row(i, "wrap it" if "gift" in h else f"77{88000 + i}") for i in range(40)], f"merch_x_2025-0{k}.csv") for k, h in enumerate(heads, 1)]
+    bad = lines(spark, [row(7, "1").replace(",3,1", ",many,1")], "merch_x_2025-03.csv").withColumn("line_no", F.lit(99)).withColumn("row_id", F.lit(99).cast("long"))
+    raw = files[0].unionByName(files[1]).unionByName(files[2]).unionByName(bad)
+    got = {tuple(r) for r in S.drift_report(raw, cut).collect()}
+    renamed = {("merch_x_2025-02.csv", "renamed", a, b) for a, b in (("created_at", "wann"), ("customer_email", "post_an"), ("billing_zip", "plz"), ("quantity", "number_of_items"))}
+    assert got == renamed | {("merch_x_2025-03.csv", "removed", "gift_note", ""), ("merch_x_2025-03.csv", "added", "", "loyalty_id")}
+    assert [(r.row_id, r.reason) for r in P.judged_lines(raw, Cut(spark, "t"))[0].filter("reason is not null").collect()] == [(99, "quantity: not a number")]
+    assert S.unified_lines(raw, Cut(spark, "t")).filter("billing_zip is null or quantity is null or created_at is null").count() == 0
