@@ -81,7 +81,7 @@ def unify_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, d: str) -> DataFrame:
-    """Resolved records under the exact rules beside the entities of the given crosswalk, with tags of what is odd about them."""
+    """Resolved records alone under the exact rules (as the SQL has it; see `_known_of_all`) beside the entities of the given crosswalk, with tags of what is odd about them."""
     people = _people(spark, d)
     truth = _truth(spark, d).withColumnRenamed("root", "entity")
     found = C.exact_clusters(people.join(truth.select("ref"), "ref"), Cut(spark, "known")).withColumnRenamed("root", "cluster")
@@ -89,6 +89,28 @@ def _known(spark: SparkSession, d: str) -> DataFrame:
     return found.join(truth, "ref").join(people.select("ref", tags.alias("tags")), "ref")
 
 
+def _known_of_all(spark: SparkSession, d: str, mode: str, cut: Cut) -> DataFrame:
+    """Like `_known`, but all records are clustered and only then restricted to the known ones; with the method of the clusters."""
+    people = _people(spark, d)
+    tags = F.array_compact(F.array(F.when(F.col("first_name") == F.upper("first_name"), "upper"), F.when(F.col("email").isNull(), "no_mail"), F.when(F.length("first_name") <= 2, "initial")))
+    truth = _truth(spark, d).withColumnRenamed("root", "entity")
+    return S.linkage(people, cut, mode).withColumnRenamed("root", "cluster").join(truth, "ref").join(people.select("ref", "email", tags.alias("tags")), "ref")
+
+
+def pair_metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of the exact rules over all records, on the known ones."""
+    return E.pair_metrics(_known_of_all(spark, d, "deterministic", Cut(spark, "known_all")))
+
+
+def tag_breakdown_all(spark: SparkSession, d: str) -> DataFrame:
+    return E.tag_breakdown(_known_of_all(spark, d, "deterministic", Cut(spark, "known_all")))
+
+
+def cluster_truth_all(spark: SparkSession, d: str) -> DataFrame:
+    """Known members of the clusters of exact rules and trained scores over all records."""
+    return E.cluster_truth(_known_of_all(spark, d, "full", Cut(spark, "known_all")))
+
+
 def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
     return E.pair_metrics(_known(spark, d))
 
@@ -137,7 +159,16 @@ def record_trace(spark: SparkSession, d: str) -> DataFrame:
 
 def false_merge_trace(spark: SparkSession, d: str) -> DataFrame:
     """Members of the cluster under the exact rules that mixes the most fans."""
-    k = Cut(spark, "false").table(_known(spark, d).select("ref", "cluster", "entity"))
+    return _worst_cluster(spark, d, Cut(spark, "false").table(_known(spark, d).select("ref", "cluster", "entity")))
+
+
+def false_merge_trace_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same where all records are clustered."""
+    cut = Cut(spark, "false_all")
+    return _worst_cluster(spark, d, cut.table(_known_of_all(spark, d, "deterministic", cut).select("ref", "cluster", "entity")))
+
+
+def _worst_cluster(spark: SparkSession, d: str, k: DataFrame) -> DataFrame:
     worst = k.groupBy("cluster").agg(F.count("*").alias("member_count"), F.count_distinct("entity").alias("true_entity_count")).filter("true_entity_count > 1").orderBy(F.col("true_entity_count").desc(), F.col("member_count").desc(), "cluster").limit(1)
     people = _people(spark, d).select("ref", "email")
     return k.join(F.broadcast(worst), "cluster").join(people, "ref").select("ref", "email", "member_count", "true_entity_count").orderBy(F.col("email").asc_nulls_last(), "ref")
@@ -146,7 +177,7 @@ def false_merge_trace(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (exact_edges, exact_clusters, xref, golden_records, blocked_pairs, gamma_patterns, scored_pairs_fixed, band_split, em_parameters, unify_full, pair_metrics, tag_breakdown,
-              cluster_truth, threshold_sweep, review_export, record_trace, false_merge_trace)
+              cluster_truth, threshold_sweep, review_export, record_trace, false_merge_trace, pair_metrics_all, tag_breakdown_all, cluster_truth_all, false_merge_trace_all)
 }
 
 

@@ -8,6 +8,7 @@ from recordspark.functions.text import fold, initcap_alnum, jaro_winkler_one, pa
 from recordspark.operators import clusters as C
 from recordspark.operators import evaluation as E
 from recordspark.operators import scored_linkage as S
+from recordspark.plans import linkage_queries as Q
 from recordspark.runtime import Cut
 
 RECORD = "rec_id long, source_system string, source_record_id string, first_name string, last_name string, email string, phone string, city string, state string, zip string, dob date, birth_year int, observed_at timestamp, root string, anchor string"
@@ -93,3 +94,17 @@ def test_modes_and_methods(spark, cut, small):
     assert full.filter("(score is not null) <> (method = 'probabilistic')").count() == 0
     with pytest.raises(ValueError):
         S.linkage(people, cut, "other")
+
+
+@pytest.fixture
+def bridged(spark, tmp_path):
+    """Two known records of one fan that only an unresolved third record ties together."""
+    rows = [record(1, email="a@b.example"), record(2, email="a@b.example", phone="2125550100"), record(3, phone="2125550100")]
+    spark.createDataFrame([tuple(r.values()) for r in rows], RECORD).write.parquet(f"{tmp_path}/identity_records.parquet")
+    spark.createDataFrame([("crm", "001", "F1"), ("crm", "003", "F1")], "source_system string, source_record_id string, fan_id string").write.parquet(f"{tmp_path}/fan_xref.parquet")
+    return str(tmp_path)
+
+
+def test_links_through_unknown_records_count(spark, bridged):
+    r = Q.pair_metrics_all(spark, bridged).first()
+    assert (r.tp, r.fp, r.fn) == (1, 0, 0) and Q.pair_metrics(spark, bridged).first().tp == 0
