@@ -111,6 +111,19 @@ def cluster_truth_all(spark: SparkSession, d: str) -> DataFrame:
     return E.cluster_truth(_known_of_all(spark, d, "full", Cut(spark, "known_all")))
 
 
+def threshold_sweep_all(spark: SparkSession, d: str) -> DataFrame:
+    """One scoring pass over all records; at each threshold the records are clustered again and measured on the known ones."""
+    cut, people, truth = Cut(spark, "sweep_all"), _people(spark, d), _truth(spark, d).withColumnRenamed("root", "entity")
+    exact = cut.table(C.exact_clusters(people, cut))
+    edges = cut.table(S.scored_pairs(cut.table(S.match_ready(people)), cut).filter("probability >= 0.5").select("ref_l", "ref_r", "probability"))
+
+    def measure(e: DataFrame) -> DataFrame:
+        found = C.combined_clusters(people, exact, e, cut).withColumnRenamed("root", "cluster")
+        return E.pair_metrics(found.join(truth, "ref")).crossJoin(e.agg(F.count("*").alias("merged_edges")))  # single rows
+
+    return E.threshold_sweep(edges, [0.9, 0.95, 0.99, 0.999, 0.9999], measure)
+
+
 def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
     return E.pair_metrics(_known(spark, d))
 
@@ -124,7 +137,7 @@ def cluster_truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs matched at five score thresholds and how many links each keeps between different fans of the crosswalk."""
+    """Given match pairs at five thresholds: edges, distinct left ends and least score; `threshold_sweep_all` clusters and measures."""
     cut = Cut(spark, "sweep")
     p = _T(spark, d, "match_pairs").filter("rec_l is not null and rec_r is not null and score is not null")
     edges = cut.table(p.groupBy(F.least("rec_l", "rec_r").alias("a"), F.greatest("rec_l", "rec_r").alias("b")).agg(F.max("score").alias("probability")))
@@ -177,7 +190,7 @@ def _worst_cluster(spark: SparkSession, d: str, k: DataFrame) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (exact_edges, exact_clusters, xref, golden_records, blocked_pairs, gamma_patterns, scored_pairs_fixed, band_split, em_parameters, unify_full, pair_metrics, tag_breakdown,
-              cluster_truth, threshold_sweep, review_export, record_trace, false_merge_trace, pair_metrics_all, tag_breakdown_all, cluster_truth_all, false_merge_trace_all)
+              cluster_truth, threshold_sweep, review_export, record_trace, false_merge_trace, pair_metrics_all, tag_breakdown_all, cluster_truth_all, false_merge_trace_all, threshold_sweep_all)
 }
 
 

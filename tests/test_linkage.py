@@ -108,3 +108,11 @@ def bridged(spark, tmp_path):
 def test_links_through_unknown_records_count(spark, bridged):
     r = Q.pair_metrics_all(spark, bridged).first()
     assert (r.tp, r.fp, r.fn) == (1, 0, 0) and Q.pair_metrics(spark, bridged).first().tp == 0
+
+
+def test_sweep_measures_clusters(spark, bridged, monkeypatch):
+    scored = spark.createDataFrame([("crm:001", "crm:003", 0.97)], "ref_l string, ref_r string, probability double")
+    monkeypatch.setattr(S, "scored_pairs", lambda ready, cut: scored)
+    monkeypatch.setattr(C, "exact_edges", lambda people: people.select(F.col("ref").alias("anchor"), "ref").limit(0))
+    got = {r.threshold: (r.tp, r.fn, r.merged_edges) for r in Q.threshold_sweep_all(spark, bridged).collect()}
+    assert got == {0.9: (1, 0, 1), 0.95: (1, 0, 1), 0.99: (0, 1, 0), 0.999: (0, 1, 0), 0.9999: (0, 1, 0)}
