@@ -3,7 +3,8 @@
 Method: sorted integer parent keys are compressed into contiguous runs; each distinct referenced number is matched
 as of the preceding run start, and numbers beyond the run's end are missing. Runs are cut at blocks of BLOCK
 numbers, which makes the as-of match a window over one block: at most BLOCK distinct numbers of parents and as many
-references, whatever the size of the tables. References are brought to distinct keys before the match, so a key
+references, whatever the size of the tables. Only references within a run meet a parent, for its times of load and
+deletion; numbers of more than 18 digits are compared as text instead. References are brought to distinct keys before the match, so a key
 that holds a third of all rows is one row there; back at the rows it meets an equi-join which AQE may split.
 
 Defined results: null and blank references are no cases; keys that are not letters, hyphen and number are missing;
@@ -51,13 +52,13 @@ def key_runs(keys: DataFrame) -> DataFrame:
     return island.groupBy("prefix", "block", "island").agg(F.min("num").alias("run_start"), F.max("num").alias("run_end")).drop("island")
 
 
-def outside_runs(refs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Distinct referenced (prefix, num) beyond the end of the run that starts at or before them."""
+def run_match(refs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Distinct referenced (prefix, num) with `absent`: whether it lies beyond the end of the run that starts at or before it."""
     a = runs.select("prefix", "block", F.col("run_start").alias("at"), F.lit(0).alias("is_ref"), "run_end")
     b = refs.select("prefix", F.expr(f"num div {BLOCK}").alias("block"), F.col("num").alias("at"), F.lit(1).alias("is_ref"), F.lit(None).cast("long").alias("run_end"))
     w = Window.partitionBy("prefix", "block").orderBy("at", "is_ref")
-    seen = a.unionByName(b).withColumn("end", F.last("run_end", ignorenulls=True).over(w))
-    return seen.filter("is_ref = 1 and (end is null or at > end)").select("prefix", F.col("at").alias("num"))
+    seen = a.unionByName(b).withColumn("end", F.last("run_end", ignorenulls=True).over(w)).filter("is_ref = 1")
+    return seen.select("prefix", F.col("at").alias("num"), (F.col("end").isNull() | (F.col("at") > F.col("end"))).alias("absent"))
 
 
 def orphan_references(children: DataFrame, child_table: str, child_key: str, ref: str, happened: str, loaded: str,
@@ -70,16 +71,16 @@ def orphan_references(children: DataFrame, child_table: str, child_key: str, ref
     rows = first.unionByName(nokey).select(F.col(child_key).alias("child_key"), F.col("r.ref").alias("ref"), F.col("r.happened").alias("happened"), F.col("r.l").alias("loaded"))
     rows = _keyed(rows.filter(F.regexp_replace("ref", r"\s+", "") != ""), "ref").drop("ref")
     keys = parent_keys(parents, parent_key, parent_loaded, parent_deleted)
-    refs = rows.filter("num is not null").select("prefix", "num").distinct()
-    absent = outside_runs(refs, key_runs(keys)).select("prefix", F.col("num").alias("a_num"), F.lit(True).alias("absent"))
-    # one row per key that any reference can meet: missing ones from the runs, the others with the parent's times
-    status = (
-        keys.select("prefix", "digits", "first_loaded", "deleted_at", F.lit(False).alias("absent"))
-        .unionByName(absent.select("prefix", F.col("a_num").cast("string").alias("digits"), "absent"), allowMissingColumns=True)
-    )
+    refs = rows.filter("digits is not null").select("prefix", "digits", "num").distinct()
+    by_runs = run_match(refs.filter("num is not null"), key_runs(keys)).select("prefix", F.col("num").cast("string").alias("digits"), "absent")
+    known = keys.select("prefix", "digits", "first_loaded", "deleted_at")
+    too_long = refs.filter("num is null").select("prefix", "digits").join(known.select("prefix", "digits", F.lit(False).alias("absent")), ["prefix", "digits"], "left").fillna(True, ["absent"])
+    # the runs say which references are absent; the others meet their parent's times, once per distinct reference
+    judged = by_runs.unionByName(too_long)
+    status = judged.filter("not absent").join(known, ["prefix", "digits"]).unionByName(judged.filter("absent"), allowMissingColumns=True)
     met = rows.join(status, ["prefix", "digits"], "left")
     kind = (
-        F.when(F.coalesce("absent", F.lit(True)), "missing")
+        F.when(F.col("absent") | F.col("digits").isNull(), "missing")
         .when(F.col("deleted_at") <= F.col("happened"), "deleted")
         .when(F.col("first_loaded") > F.col("loaded"), "late")
     )

@@ -104,3 +104,17 @@ def test_runs_and_empty(spark):
     assert none.count() == 0
     one = spark.createDataFrame([("E", "S-1", dt.datetime(2025, 1, 1), None, 1, True)], CHILD)
     assert [r.orphan_kind for r in O.orphan_references(one, "c", "event_id", "subscriber_id", "occurred_at", "loaded_at", spark.createDataFrame([], PARENT), "subscriber_id", "loaded_at", "deleted_at").collect()] == ["missing"]
+
+
+def test_the_runs_decide_what_is_missing(spark, monkeypatch):
+    """Without runs every reference is missing, with a run over everything none is."""
+    t = dt.datetime(2025, 1, 1)
+    kids = spark.createDataFrame([(f"E{i}", f"S-{i}", t, t, 1, True) for i in range(1, 7)], CHILD)
+    parents = spark.createDataFrame([(f"S-{i}", None, t, "x") for i in (1, 2, 5)], PARENT)
+    found = lambda: {r.child_key for r in O.orphan_references(kids, "c", "event_id", "subscriber_id", "occurred_at", "loaded_at", parents, "subscriber_id", "loaded_at", "deleted_at").filter("orphan_kind = 'missing'").collect()}
+    assert found() == {"E3", "E4", "E6"}
+    runs = "prefix string, block long, run_start long, run_end long"
+    monkeypatch.setattr(O, "key_runs", lambda keys: spark.createDataFrame([], runs))
+    assert found() == {f"E{i}" for i in range(1, 7)}
+    monkeypatch.setattr(O, "key_runs", lambda keys: spark.createDataFrame([("S", 0, 1, 9)], runs))
+    assert found() == set()
