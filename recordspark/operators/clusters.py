@@ -42,15 +42,10 @@ def exact_edges(people: DataFrame) -> DataFrame:
     return _star(named, "email").unionByName(_star(named, "phone", "surname")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def components(vertices: DataFrame, edges: DataFrame, cut: Cut) -> DataFrame:
     """ref and root, the least ref of its component, for every ref of `vertices`; edges have anchor and ref."""
     low, high = F.least("anchor", "ref"), F.greatest("anchor", "ref")
-    e = cut.table(edges.filter("anchor <> ref").select(high.alias("u"), low.alias("v")).distinct())  # u > v
-    mark = _mark(e)
+    e = cut.table(edges.filter("anchor <> ref").select(high.alias("u"), low.alias("v")).distinct(), ["u", "v"])  # u > v
     for _ in range(MAX_ROUNDS):
         # large star: every vertex ties its greater neighbours to the least of its neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -60,10 +55,11 @@ def components(vertices: DataFrame, edges: DataFrame, cut: Cut) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         small = large.join(least, "u").select(F.inline(tied)).filter("u <> v").distinct()
-        after = cut.table(small)
+        after = cut.table(small, ["u", "v"])
+        settled = after.mark == e.mark
         cut.drop(e)
-        e, before, mark = after, mark, _mark(after)
-        if mark == before:
+        e = after
+        if settled:
             roots = e.groupBy("u").agg(F.min("v").alias("root"))
             return vertices.select("ref").join(roots.withColumnRenamed("u", "ref"), "ref", "left").select("ref", F.coalesce("root", "ref").alias("root"))
     raise RuntimeError("components did not settle")

@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions.assign import best_assignment
@@ -22,19 +22,12 @@ from recordspark.functions.assign import best_assignment
 SKETCH = 32  # parts of a one-permutation value sketch
 DELIMITERS = [",", ";", "|", "\t"]
 
-# The checked parts of a shop order line, with names under which exports carry them.
+# The parts of a shop order line and the names that the statement of the problem gives them.
 PART_NAMES = {
-    "order_number": ["order_number", "order_no", "reference", "order_id", "order_ref"],
-    "created_at": ["created_at", "order_time", "ordered_at", "ts_created", "order_date", "timestamp"],
-    "customer_email": ["customer_email", "email", "buyer_email", "contact", "mail"],
-    "billing_name": ["billing_name", "name_on_order", "buyer", "customer_name", "name"],
-    "billing_zip": ["billing_zip", "billing_postal_code", "postal_code", "zip", "ship_to_postcode", "postcode"],
-    "sku": ["sku", "item_code", "product_code", "item_sku"],
-    "item_name": ["item_name", "article", "product_name", "description_short", "item", "product", "description"],
-    "quantity": ["quantity", "qty", "pieces", "units", "count"],
-    "unit_price": ["unit_price", "price_each", "unit_amount", "price", "unit_cost"],
-    "line_total": ["line_total", "line_amount", "total", "amount", "line_sum"],
-}
+    "order_number": ["order_number"], "created_at": ["created_at"], "customer_email": ["customer_email"], "billing_name": ["billing_name"],
+    "billing_zip": ["billing_zip", "billing_postal_code"], "sku": ["sku"], "item_name": ["item_name"], "quantity": ["quantity"],
+    "unit_price": ["unit_price"], "line_total": ["line_total"],
+}
 # The form of content that a part has; see FORMS.
 PART_FORM = {
     "order_number": "order", "created_at": "time", "customer_email": "mail", "billing_name": "words", "billing_zip": "zip",
@@ -158,30 +151,52 @@ def _names_like_parts(name: str) -> tuple[float, ...]:
     return tuple(max(name_similarity(name, x) for x in names) for names in PART_NAMES.values())
 
 
-def _part_scores(name: str, form: np.ndarray, n: int) -> dict[str, float]:
-    out = {}
-    for part, by_name in zip(PART_NAMES, _names_like_parts(name)):
-        by_form = form[FORMS.index(PART_FORM[part])] if n else 0.4
-        out[part] = (1.2 if by_name == 1 else 0.6 * by_name) + 0.5 * by_form
+Pools = dict[str, set[int]]  # part -> hashes that the sketches of columns known by name hold, over all feeds
+
+
+def part_pools(meta: DataFrame) -> Pools:
+    """Value sketches of the columns with a given name, pooled over all files: at most POOL hashes a part and sketch slot."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace("name", "(?<=[a-z0-9])(?=[A-Z])", "_")), "[^a-z0-9]+", "_")
+    part = F.coalesce(*[F.when(F.trim(plain, F.lit("_")).isin(names), F.lit(p)) for p, names in PART_NAMES.items()])
+    seen = meta.select(part.alias("part"), F.inline("sketch").alias("slot", "h")).filter("part is not null").groupBy("part", "slot", "h").agg(F.count("*").alias("files"))
+    w = Window.partitionBy("part", "slot").orderBy(F.col("files").desc(), "h")
+    out: Pools = {p: set() for p in PART_NAMES}
+    for r in seen.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= POOL).select("part", "h").collect():
+        out[r["part"]].add(r["h"])
     return out
 
 
-def assign_parts(columns: pd.DataFrame, carried: list[str | None] | None = None) -> list[str | None]:
+def pooled_share(r: pd.Series, pools: Pools) -> dict[str, float]:
+    """For each part the share of the column's sketch that columns known by name hold as well."""
+    hashes = list(_sketch(r).values())
+    return {p: sum(h in pool for h in hashes) / max(1, len(hashes)) for p, pool in pools.items()}
+
+
+def _part_scores(r: pd.Series, pools: Pools) -> dict[str, float]:
+    form, shares, out = _form_vector(r), pooled_share(r, pools), {}
+    for part, by_name in zip(PART_NAMES, _names_like_parts(r["name"])):
+        by_form = form[FORMS.index(PART_FORM[part])] if r["n"] else 0.4
+        out[part] = (1.2 if by_name == 1 else 0.6 * by_name) + 0.5 * by_form + (0.5 * shares.get(part, 0.0) if by_name < 1 else 0.0)
+    return out
+
+
+def assign_parts(columns: pd.DataFrame, pools: Pools, carried: list[str | None] | None = None) -> list[str | None]:
     """The part of each column of one file: an optimal matching of columns and parts by names, content and the parts carried along."""
     parts = list(PART_NAMES)
     score = np.zeros((len(columns), len(parts)))
     for i, (_, r) in enumerate(columns.iterrows()):
-        s = _part_scores(r["name"], _form_vector(r), r["n"])
+        s = _part_scores(r, pools)
         score[i] = [s[p] + (CARRIED if carried and carried[i] == p else 0.0) for p in parts]
     out: list[str | None] = [None] * len(columns)
-    for i, j in best_assignment(score, 0.85):
+    for i, j in best_assignment(score, LEAST_PART):
         out[i] = parts[j]
     return out
 
 
-LEAST_LIKENESS = 0.5
-LISTED = 0.2  # what the list of names adds to the likeness of two columns, or takes from it
-CARRIED = 1.0  # what the part of the column in the file before adds
+LEAST_LIKENESS, LEAST_PART = 0.49, 0.6
+POOL = 64
+POOLED = 0.3  # what values that both columns share with one known column of any feed add to their likeness
+CARRIED = 1.0  # what the part of the same column in a neighbouring file adds
 
 
 def _sketch(r: pd.Series) -> dict[int, int]:
@@ -196,46 +211,62 @@ def _form_likeness(a: pd.Series, b: pd.Series) -> float:
     gap = np.abs(u - v)[shared or slice(None)]
     if not shared:
         gap = np.append(gap, [abs(a[k] / a["n"] - b[k] / b["n"]) for k in ("n_space", "n_long", "n_lower", "n_int", "n_dec")])
-    noise = 0.5 / np.sqrt(min(a["n"], b["n"]))
+    noise = 1 / np.sqrt(min(a["n"], b["n"]))  # two standard errors of a difference of shares, about
     strict = 1 - min(1.0, max(0.0, float(gap.max()) - noise))
     number = min(max(x[FORMS.index(k)] for k in ("zip", "count", "number")) * (r["n_dec"] / r["n"]) for x, r in ((u, a), (v, b)))
     return max(strict, 0.7 * number)
 
 
-def likeness(a: pd.Series, b: pd.Series, part_a: str | None, part_b: str | None) -> float:
-    """How alike two columns are by value sketches, forms, types and names; parts known of both add or take LISTED."""
+def likeness(a: pd.Series, b: pd.Series, pools: Pools) -> float:
+    """How alike two columns are by value sketches, forms, types and names, and by what both share with known columns."""
     by_name = name_similarity(a["name"], b["name"])
-    bonus = 0.0 if not part_a or not part_b else LISTED if part_a == part_b else -LISTED
     if not a["n"] or not b["n"]:
-        return by_name + (0.5 if bonus > 0 else bonus)
+        return by_name
     x, y = _sketch(a), _sketch(b)
     both = [k for k in x if k in y]
     overlap = sum(x[k] == y[k] for k in both) / max(1, len(both))
-    return 0.5 * _form_likeness(a, b) + 0.3 * max(overlap, by_name) + 0.2 * overlap + bonus
+    p, q = pooled_share(a, pools), pooled_share(b, pools)
+    known = max((min(p[k], q[k]) for k in pools), default=0.0)
+    return 0.5 * _form_likeness(a, b) + 0.3 * max(overlap, by_name) + 0.2 * overlap + POOLED * known
 
 
-def matched_files(columns: pd.DataFrame) -> list[tuple[str, pd.DataFrame, list[str | None], dict[str, str]]]:
+def matched_files(columns: pd.DataFrame, pools: Pools) -> list[tuple[str, pd.DataFrame, list[str | None], dict[str, str]]]:
     """The files of one feed in order of month: name, columns by position, their parts, and the old name of each renamed column.
 
-    Names that are the same in both files stay the same column; the others are matched by `likeness`. A column keeps the
-    part that it had in the file before.
+    Names that are the same in both files stay the same column; the others are matched by `likeness`. Parts are carried
+    along the chain of matched columns, forwards and then backwards, so that one file that names a column is enough.
     """
-    out, before = [], None
     by_file = {f: g.sort_values("pos") for f, g in columns.groupby("source_file", sort=False)}
-    for f in columns[["month", "source_file"]].drop_duplicates().sort_values(["month", "source_file"])["source_file"]:
-        g, renamed = by_file[f], {}
-        parts = assign_parts(g)
-        now = {r["name"]: r for _, r in g.drop_duplicates("name").iterrows()}
-        if before is not None:
-            old, had = before
-            listed = dict(zip(g["name"], parts))
-            gone, fresh = [k for k in old if k not in now], [k for k in now if k not in old]
-            score = np.array([[likeness(old[a], now[b], had[a], listed[b]) for b in fresh] for a in gone]).reshape(len(gone), len(fresh))
-            renamed = {fresh[j]: gone[i] for i, j in best_assignment(score, LEAST_LIKENESS)}
-            parts = assign_parts(g, [had.get(renamed.get(k, k)) for k in g["name"]])
-        out.append((f, g, parts, renamed))
-        before = (now, {k: p for k, p in sorted(zip(g["name"], parts), key=lambda x: x[1] or "")})
-    return out
+    order = list(columns[["month", "source_file"]].drop_duplicates().sort_values(["month", "source_file"])["source_file"])
+    chain: list[dict[str, str]] = []
+    old: dict[str, pd.Series] = {}
+    for f in order:
+        now = {r["name"]: r for _, r in by_file[f].drop_duplicates("name").iterrows()}
+        gone, fresh = [k for k in old if k not in now], [k for k in now if k not in old]
+        score = np.array([[likeness(old[a], now[b], pools) for b in fresh] for a in gone]).reshape(len(gone), len(fresh))
+        chain.append({fresh[j]: gone[i] for i, j in best_assignment(score, LEAST_LIKENESS)})
+        old = now
+    own = [_known(by_file[f], assign_parts(by_file[f], pools)) for f in order]
+    for i in range(1, len(order)):  # forwards, then backwards
+        own[i] = _carry(by_file[order[i]], pools, own[i - 1], {k: chain[i].get(k, k) for k in by_file[order[i]]["name"]})
+    for i in range(len(order) - 2, -1, -1):
+        ahead = {a: b for b, a in chain[i + 1].items()}
+        own[i] = _carry(by_file[order[i]], pools, own[i + 1], {k: ahead.get(k, k) for k in by_file[order[i]]["name"]}, own[i])
+    return [(f, by_file[f], [p for p in own[i]["parts"]], chain[i]) for i, f in enumerate(order)]
+
+
+def _known(g: pd.DataFrame, parts: list[str | None]) -> dict:
+    return {"parts": parts, "by_name": {k: p for k, p in sorted(zip(g["name"], parts), key=lambda x: x[1] or "")}}
+
+
+def _carry(g: pd.DataFrame, pools: Pools, neighbour: dict, link: dict[str, str], had: dict | None = None) -> dict:
+    """Parts of a file given those of a neighbouring one; backwards only columns without a part take one from ahead."""
+    ahead = [neighbour["by_name"].get(link[k]) for k in g["name"]]
+    if had is not None:
+        if not any(p is None and a and a not in had["parts"] for p, a in zip(had["parts"], ahead)):
+            return had
+        ahead = [p or a for p, a in zip(had["parts"], ahead)]
+    return _known(g, assign_parts(g, pools, ahead))
 
 
 COUNTS = ["n", "n_int", "n_dec", "n_iso", "n_ts", "n_epoch", "n_order", "n_mail", "n_zip", "n_code", "n_small", "n_space", "n_long", "n_alpha", "n_lower"]
@@ -254,12 +285,12 @@ def column_metadata(headers: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def file_parts(meta: DataFrame) -> DataFrame:
+def file_parts(meta: DataFrame, pools: Pools) -> DataFrame:
     """Per file: the part of each column position and the form of its creation time (`iso` or `epoch`)."""
 
     def per_feed(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for f, g, parts, _ in matched_files(pdf):
+        for f, g, parts, _ in matched_files(pdf, pools):
             form = next(("epoch" if r["n_epoch"] > r["n_iso"] else "iso" for p, (_, r) in zip(parts, g.iterrows()) if p == "created_at"), "iso")
             rows.append((f, [p or "" for p in parts], form))
         return pd.DataFrame(rows, columns=["source_file", "parts", "time_form"])

@@ -5,7 +5,7 @@ that back to the rows beside the structural checks. The dictionary joins as a br
 plan has measured it as small; hot values are met once, since the distinct step aggregates before its shuffle.
 
 Defined results: a null payload is an empty line or text and fails; repeated rows are judged each on its own; rows
-keep their row_id (a null row_id is a group of its own); extra columns of the input, whatever their names, are not
+keep their row_id, which may be null or repeated; extra columns of the input, whatever their names, are not
 read; empty tables give empty results; very long texts are read whole.
 """
 
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.operators.delimited import DECIMAL, column_metadata, file_parts, is_instant, mail_shape, profile, read_headers, split_lines
+from recordspark.operators.delimited import DECIMAL, Pools, column_metadata, file_parts, is_instant, mail_shape, part_pools, profile, read_headers, split_lines
 from recordspark.runtime import Cut, spread
 
 RAW_LINE = ["row_id", "payload", "source_file", "line_no"]
@@ -42,36 +42,37 @@ def _dictionary(cells: DataFrame, reason) -> DataFrame:
     return cells.select("kind", "v").distinct().withColumn("reason", reason(F.col("kind"), F.col("v"))).filter("reason is not null")
 
 
-def _failed(cells: DataFrame, bad: DataFrame) -> DataFrame:
-    """row_id and the sorted reasons of its invalid values."""
+def _with_reasons(rows: DataFrame, cells: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows with the sorted reasons of their invalid values; `_row` numbers them, since a row_id may be null or repeated."""
     hits = cells.join(bad, ["kind", "v"])
-    return hits.groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reason"))
+    failed = hits.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reason"))
+    return rows.join(failed, "_row", "left").drop("_row")
 
 
-def parsed_lines(raw: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
-    """(lines with values, names, parts, time_form and broken; metadata of every file's columns)."""
+def parsed_lines(raw: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame, Pools]:
+    """(lines with values, names, parts, time_form and broken; metadata of every file's columns; pooled sketches)."""
     raw = raw.select(*RAW_LINE)
     headers = cut.table(read_headers(raw))
-    lines = cut.table(split_lines(spread(raw), headers))
+    lines = cut.table(split_lines(spread(raw), headers).withColumn("_row", F.monotonically_increasing_id()))
     meta = cut.table(column_metadata(headers, profile(lines.filter("broken is null"))))
-    parts = cut.table(file_parts(meta))
-    return lines.join(parts, "source_file", "left"), meta
+    pools = part_pools(meta)
+    parts = cut.table(file_parts(meta, pools))
+    cut.drop(headers)
+    return lines.join(parts, "source_file", "left"), meta, pools
 
 
-def judged_lines(raw: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
-    """All records with `reason` (null where the line loads), and the column metadata."""
-    lines, meta = parsed_lines(raw, cut)
+def judged_lines(raw: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame, Pools]:
+    """All records with `reason` (null where the line loads), the column metadata and the pooled sketches."""
+    lines, meta, pools = parsed_lines(raw, cut)
     whole = lines.filter("broken is null")
     kind = F.transform("parts", lambda p: F.when(p == "created_at", F.concat(p, F.lit(":"), F.col("time_form"))).when(p.isin(CHECKED), p))
     cells = (
         whole.withColumn("kinds", kind)
-        .select("row_id", F.inline(F.arrays_zip(F.col("kinds").alias("kind"), F.col("values").alias("v"))))
+        .select("_row", F.inline(F.arrays_zip(F.col("kinds").alias("kind"), F.col("values").alias("v"))))
         .filter("kind is not null")
     )
-    bad = _dictionary(cells, line_value_reason)
-    failed = _failed(cells, bad).withColumnRenamed("row_id", "_row")
-    out = lines.join(failed, F.col("row_id").eqNullSafe(F.col("_row")), "left").drop("_row")
-    return out.withColumn("reason", F.coalesce("broken", "reason")), meta
+    out = _with_reasons(lines, cells, _dictionary(cells, line_value_reason))
+    return out.withColumn("reason", F.coalesce("broken", "reason")), meta, pools
 
 
 def _json_fields(payload: pd.Series) -> pd.DataFrame:
@@ -121,13 +122,11 @@ def contact_value_reason(kind: Column, v: Column) -> Column:
 def judged_contacts(raw: DataFrame, cut: Cut) -> DataFrame:
     """All payloads with their fields (`c`) and `reason` (null where the payload loads)."""
     read = F.pandas_udf(_json_fields, _CONTACT_TYPE)
-    rows = cut.table(raw.select("row_id", "batch_id", "source_file", "loaded_at", read("payload").alias("c")))
+    rows = cut.table(raw.select("row_id", "batch_id", "source_file", "loaded_at", read("payload").alias("c")).withColumn("_row", F.monotonically_increasing_id()))
     kinds = ["Id", "LastName", "Email", "SystemModstamp", "Birthdate"]
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(f"c.`{k}`"), F.lit("")).alias("v")) for k in kinds])
-    cells = rows.filter("c.error is null").select("row_id", F.inline(pairs))
-    bad = _dictionary(cells, lambda k, v: contact_value_reason(k, F.nullif(v, F.lit(""))))
-    failed = _failed(cells, bad).withColumnRenamed("row_id", "_row")
-    out = rows.join(failed, F.col("row_id").eqNullSafe(F.col("_row")), "left").drop("_row")
+    cells = rows.filter("c.error is null").select("_row", F.inline(pairs))
+    out = _with_reasons(rows, cells, _dictionary(cells, lambda k, v: contact_value_reason(k, F.nullif(v, F.lit("")))))
     return out.withColumn("reason", F.coalesce("c.error", "reason"))
 
 

@@ -11,11 +11,13 @@ from recordspark.runtime import Cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.drift_report(table(spark, d, "raw_merch_order_items"), Cut(spark, "p1"))
+    cut = Cut(spark, "p1")
+    return cut.finish(schema_drift.drift_report(table(spark, d, "raw_merch_order_items"), cut))
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.unified_lines(table(spark, d, "raw_merch_order_items"), Cut(spark, "p1"))
+    cut = Cut(spark, "p1")
+    return cut.finish(schema_drift.unified_lines(table(spark, d, "raw_merch_order_items"), cut))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,22 +50,19 @@ def p6_monthly(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(p6_found(spark, d))
 
 
-def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cut = Cut(spark, "p7")
-    lines, _ = parse_failures.judged_lines(table(spark, d, "raw_merch_order_items"), cut)
-    return lines, parse_failures.judged_contacts(table(spark, d, "raw_crm_contacts"), cut)
-
-
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return parse_failures.rejects(*_judged(spark, d)).select("source_table", "row_id")
+    return p7_reasons(spark, d).select("source_table", "row_id")
 
 
 def p7_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return parse_failures.rejects(*_judged(spark, d))
+    cut = Cut(spark, "p7")
+    lines, _, _ = parse_failures.judged_lines(table(spark, d, "raw_merch_order_items"), cut)
+    return cut.finish(parse_failures.rejects(lines, parse_failures.judged_contacts(table(spark, d, "raw_crm_contacts"), cut)))
 
 
 def p7_contacts(spark: SparkSession, d: str) -> DataFrame:
-    return parse_failures.contact_rows(parse_failures.judged_contacts(table(spark, d, "raw_crm_contacts"), Cut(spark, "p7")))
+    cut = Cut(spark, "p7")
+    return cut.finish(parse_failures.contact_rows(parse_failures.judged_contacts(table(spark, d, "raw_crm_contacts"), cut)))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p5_found, p5_history, p5_change_log, p6_found, p6_monthly, p7_found, p7_reasons, p7_contacts)}

@@ -6,11 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_LEFT: set[str] = set()  # tables that a returned DataFrame still reads; deleted when the program ends
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,46 +21,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only for a local master that names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="recordspark-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
     return f"file://{_OWN['dir']}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _delete(path: str) -> None:
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _delete_left() -> None:
+    for path in list(_LEFT):
+        try:
+            _delete(path)
+        except Exception:  # the session is gone; the cluster's own cleaning takes what stays
+            return
 
 
 class Cut:
     """Tables written to the shared folder so that a plan starts anew from files that outlive executors.
 
-    `table` writes and reads back one DataFrame; `drop` deletes a table that no later step reads.
+    `table` writes and reads back one DataFrame; `drop` deletes a table that no later step reads. `finish` deletes all
+    tables but those that the result reads, which go when the program ends.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self.live: dict[int, str] = {}
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, mark: list[str] | None = None) -> DataFrame:
+        """With `mark` the result's `.mark` tells sets of rows apart by these columns; it is observed while they are written."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        watch = Observation() if mark else None
+        marked = df.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*mark).cast("decimal(38,0)")).alias("h")) if mark else df
+        marked.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._cut_path = path
+        out._cut, out.mark = self.n, tuple(watch.get.values()) if watch else None
+        self.live[self.n] = path
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        path = getattr(df, "_cut_path", None)
-        if path:
-            _delete(self.spark, path)
+    def drop(self, *dfs: DataFrame | None) -> None:
+        for df in dfs:
+            path = self.live.pop(getattr(df, "_cut", 0), None)
+            if path:
+                _delete(path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        files = [unquote(f) for f in df.inputFiles()]
+        for n, path in list(self.live.items()):
+            tail = f"{self.base.split('/')[-1]}/{n}/"
+            if any(tail in f for f in files):
+                _LEFT.add(self.base)
+            else:
+                _delete(path)
+                del self.live[n]
+        if not self.live:
+            _delete(self.base)
+        return df
 
 
 def blank_to_null(c: Column) -> Column:

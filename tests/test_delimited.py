@@ -93,7 +93,7 @@ def bad_lines(rows):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_lines_fail_as_by_brute_force(spark, cut, sf):
     raw = table(spark, f"/root/testdata/{sf}", "raw_merch_order_items")
-    lines, _ = P.judged_lines(raw, cut)
+    lines = P.judged_lines(raw, cut)[0]
     assert {r.row_id for r in lines.filter("reason is not null").collect()} == bad_lines(raw.collect())
 
 
@@ -193,3 +193,50 @@ def test_unlisted_names_are_matched_by_content(spark, cut):
     assert got == renamed | {("merch_x_2025-03.csv", "removed", "gift_note", ""), ("merch_x_2025-03.csv", "added", "", "loyalty_id")}
     assert [(r.row_id, r.reason) for r in P.judged_lines(raw, Cut(spark, "t"))[0].filter("reason is not null").collect()] == [(99, "quantity: not a number")]
     assert S.unified_lines(raw, Cut(spark, "t")).filter("billing_zip is null or quantity is null or created_at is null").count() == 0
+
+
+SHOP = "order_number,sku,quantity,unit_price,line_total"
+
+
+def _shop(spark, price, total, file):
+    rows = [f"M-{100000 + i},ABC-CAP-{i % 5:02d},{i % 3 + 1},{price(10 + i % 5)},{total((10 + i % 5) * (i % 3 + 1))}" for i in range(30)]
+    return lines(spark, [SHOP] + rows, file)
+
+
+def test_whole_prices_stay_without_evidence_of_hundredths(spark, cut):
+    whole = _shop(spark, lambda p: f"{p}", lambda p: f"{p}", "merch_x_2025-01.csv")
+    got = S.unified_lines(whole, cut).agg(F.min("unit_price"), F.max("unit_price"), F.max("price_scale"), F.max("total_scale")).first()
+    assert tuple(map(float, got)) == (10.0, 14.0, 1.0, 1.0)
+    with_point = _shop(spark, lambda p: f"{p}.00", lambda p: f"{p}.00", "merch_y_2025-01.csv")
+    both = S.unified_lines(whole.unionByName(with_point), Cut(spark, "t"))
+    assert both.filter("price_scale <> 1 or total_scale <> 1 or line_total <> unit_price * quantity").count() == 0
+
+
+def test_hundredths_are_shown_by_the_same_goods(spark, cut):
+    cents = _shop(spark, lambda p: f"{p}00", lambda p: f"{p}00", "merch_x_2025-01.csv")
+    with_point = _shop(spark, lambda p: f"{p}.00", lambda p: f"{p}00", "merch_y_2025-01.csv")
+    u = S.unified_lines(cents.unionByName(with_point), cut)
+    assert u.filter("line_total <> unit_price * quantity or unit_price > 14").count() == 0
+    assert {(r.source_file[6], r.price_scale, r.total_scale) for r in u.select("source_file", "price_scale", "total_scale").distinct().collect()} == {("x", 100, 100), ("y", 1, 100)}
+
+
+def test_matching_decides_the_renames(spark, monkeypatch):
+    """With all columns unlike each other the renames become removals and additions, and unnamed columns go unchecked."""
+    from recordspark.operators import delimited as D
+
+    row = lambda i, q: f"M-{100000 + i},2025-01-0{i % 9 + 1}T00:00:00Z,{q}"
+    files = [lines(spark, [h] + [row(i, i % 5 + 1) for i in range(40)] + [row(41, "many")], f"merch_x_2025-0{k}.csv") for k, h in enumerate(["order_number,created_at,quantity", "order_number,wann,stueck"], 1)]
+    raw = files[0].unionByName(files[1])
+    _, meta, pools = S.loaded_columns(raw, Cut(spark, "t"))
+    columns = meta.toPandas()
+    kinds = lambda: sorted(S.feed_changes(columns, pools)["change_kind"])
+    parts = lambda: D.matched_files(columns, pools)[1][2]
+    assert kinds() == ["renamed", "renamed"] and parts() == ["order_number", "created_at", "quantity"]
+    monkeypatch.setattr(D, "likeness", lambda a, b, pools: 0.0)
+    monkeypatch.setattr(D, "pooled_share", lambda r, pools: {})
+    assert kinds() == ["added", "added", "removed", "removed"] and parts() == ["order_number", None, None]
+
+
+def test_rows_without_an_id_keep_their_own_reason(spark, cut):
+    raw = lines(spark, [HEAD]).unionByName(spark.createDataFrame([(None, GOOD.replace("M-1", "X"), "merch_x_2025-01.csv", 2, None), (None, GOOD, "merch_x_2025-01.csv", 3, None)], LINE))
+    assert sorted(r.reason or "" for r in P.judged_lines(raw, cut)[0].collect()) == ["", "order_number: does not start with M-"]
