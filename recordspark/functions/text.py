@@ -104,67 +104,27 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return F.pandas_udf(lambda x, y: pd.Series([jaro_winkler_one(p, q) for p, q in zip(x, y)], dtype="float64"), DoubleType())(a, b)
 
 
-# Formal first names, each followed by the short forms that stand for it.
-SHORT_FORMS = """
-william: bill will billy
-robert: rob bob bobby
-elizabeth: liz beth lizzie
-margaret: peggy maggie
-james: jim jimmy
-jennifer: jen jenny
-michael: mike mikey
-katherine: kate katie kathy
-joseph: joe joey
-christopher: chris topher
-daniel: dan danny
-matthew: matt
-nicholas: nick nico
-anthony: tony
-andrew: drew andy
-rebecca: becca becky
-patricia: pat trish
-richard: rick rich
-thomas: tom tommy
-charles: charlie chuck
-steven: steve
-edward: ed eddie ted
-alexander: alex xander
-samantha: sam
-benjamin: ben benny
-jonathan: jon jonny
-timothy: tim timmy
-gregory: greg
-jessica: jess jessie
-amanda: mandy
-susan: sue susie
-deborah: deb debbie
-kimberly: kim
-victoria: vicky tori
-ronald: ron ronnie
-kenneth: ken kenny
-joshua: josh
-zachary: zach
-nathaniel: nate nathan
-abigail: abby
-gabriella: gabby
-isabella: bella izzy
-alexandra: lexi sasha
-cassandra: cassie
-frederick: fred freddie
-lawrence: larry
-raymond: ray
-dorothy: dot dottie
-barbara: barb
-leonardo: leo
-"""
-
-
-def short_forms() -> dict[str, str]:
-    lines = (line.split(":") for line in SHORT_FORMS.strip().splitlines())
-    return {short: formal for formal, shorts in lines for short in shorts.split()}
+# Common English short forms of first names and the formal name that each stands for, compiled for this library.
+SHORT_FORMS = {
+    "abby": "abigail", "al": "albert", "alex": "alexander", "andy": "andrew", "angie": "angela", "archie": "archibald", "art": "arthur", "barney": "bernard", "becky": "rebecca",
+    "ben": "benjamin", "bernie": "bernard", "bert": "albert", "beth": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william",
+    "bob": "robert", "bobby": "robert", "cathy": "catherine", "charlie": "charles", "chris": "christopher", "cindy": "cynthia", "dan": "daniel", "danny": "daniel", "dave": "david",
+    "debbie": "deborah", "dick": "richard", "don": "donald", "doug": "douglas", "ed": "edward", "eddie": "edward", "ellie": "eleanor", "fran": "frances", "frank": "francis",
+    "fred": "frederick", "gabe": "gabriel", "gene": "eugene", "gerry": "gerald", "greg": "gregory", "gus": "augustus", "hank": "henry", "harry": "harold", "jack": "john",
+    "jake": "jacob", "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer", "jerry": "gerald", "jess": "jessica", "jim": "james", "jimmy": "james", "joe": "joseph",
+    "johnny": "john", "jon": "jonathan", "josh": "joshua", "judy": "judith", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "ken": "kenneth", "kenny": "kenneth",
+    "kim": "kimberly", "larry": "lawrence", "lenny": "leonard", "leo": "leonard", "libby": "elizabeth", "liz": "elizabeth", "lou": "louis", "maggie": "margaret", "mandy": "amanda",
+    "marge": "margaret", "matt": "matthew", "max": "maximilian", "meg": "margaret", "mickey": "michael", "mike": "michael", "millie": "mildred", "molly": "mary",
+    "nate": "nathaniel", "ned": "edward", "nell": "helen", "nick": "nicholas", "nikki": "nicole", "pam": "pamela", "pat": "patricia", "patty": "patricia", "peggy": "margaret",
+    "penny": "penelope", "pete": "peter", "phil": "philip", "polly": "mary", "randy": "randolph", "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert",
+    "robbie": "robert", "ron": "ronald", "ronnie": "ronald", "russ": "russell", "sally": "sarah", "sam": "samuel", "sandy": "sandra", "steve": "steven", "stu": "stuart",
+    "sue": "susan", "susie": "susan", "tammy": "tamara", "ted": "theodore", "terry": "terence", "theo": "theodore", "tim": "timothy", "timmy": "timothy", "tina": "christina",
+    "tom": "thomas", "tommy": "thomas", "tony": "anthony", "trish": "patricia", "val": "valerie", "vicky": "victoria", "vince": "vincent", "walt": "walter", "wes": "wesley",
+    "will": "william", "zach": "zachary",
+}
 
 
 def canonical_first_name(folded: Column) -> Column:
     """The formal name of a folded first name, itself where it is no short form."""
-    pairs = [F.lit(x) for kv in short_forms().items() for x in kv]
+    pairs = [F.lit(x) for kv in SHORT_FORMS.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), folded), folded)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordspark.functions.text import short_forms
+from recordspark.functions.text import SHORT_FORMS
 from recordspark.operators import clusters as C
 from recordspark.operators import evaluation as E
 from recordspark.operators import scored_linkage as S
@@ -202,7 +202,7 @@ def _blank_sql(x: str) -> str:
     return rf"nullif(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '')"
 
 
-_NICK = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in short_forms().items())
+_NICK = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHORT_FORMS.items())
 _PEOPLE = f"""people AS (SELECT source_system || ':' || source_record_id AS ref, source_system, source_record_id, first_name, last_name, lower({_blank_sql('email')}) AS email,
   nullif(right(regexp_replace(phone,'[^0-9]','','g'),10),'') AS phone, {_blank_sql('city')} AS city, {_blank_sql('state')} AS state, {_blank_sql('zip')} AS zip, dob, birth_year, observed_at, {_fold_sql('last_name')} AS surname FROM identity_records)"""
 

@@ -129,7 +129,7 @@ def _fold_sql(x: str) -> str:
 
 
 _LAST_SUB = "(SELECT * FROM email_subscribers QUALIFY row_number() OVER (PARTITION BY subscriber_id ORDER BY loaded_at DESC NULLS FIRST)=1)"
-_NICK = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.short_forms().items())
+_NICK = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SHORT_FORMS.items())
 
 ORACLES = {
     "json_extract_typed": "SELECT event_id, TRY_CAST(json_extract_string(props,'$.k') AS INT) AS k, json_extract_string(props,'$.absent') AS absent FROM events",
