@@ -32,22 +32,18 @@ def current_links(pairs: DataFrame) -> DataFrame:
     return last.filter("verdict = 'match'").select("a", "b")
 
 
-def _mark(rows: DataFrame) -> tuple:
-    return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-
 def hash_to_min(links: DataFrame, cut: Cut) -> DataFrame:
     """v and root, the least vertex linked to it directly or indirectly, for every vertex of `links` (a, b)."""
     both = F.array(*[F.struct(F.col(x).alias("v"), F.col(y).alias("u")) for x, y in (("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"))])
-    rows = cut.table(links.select(F.inline(both)).distinct())
-    mark = _mark(rows)
+    rows = cut.table(links.select(F.inline(both)).distinct(), ["v", "u"])
     for _ in range(MAX_ROUNDS):
         least = rows.groupBy("v").agg(F.min("u").alias("m"))
         sent = F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
-        after = cut.table(rows.join(least, "v").select(F.inline(sent)).distinct())
+        after = cut.table(rows.join(least, "v").select(F.inline(sent)).distinct(), ["v", "u"])
+        settled = after.mark == rows.mark
         cut.drop(rows)
-        rows, before, mark = after, mark, _mark(after)
-        if mark == before:
+        rows = after
+        if settled:
             return rows.groupBy("v").agg(F.min("u").alias("root"))
     raise RuntimeError("hash-to-min did not settle")
 

@@ -11,11 +11,13 @@ from recordspark.runtime import Cut, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivorship.golden_values(table(spark, d, "identity_records"), table(spark, d, "fan_xref"), Cut(spark, "p2")).select("fan_id", "field_name", "rec_id")
+    cut = Cut(spark, "p2")
+    return cut.finish(survivorship.golden_values(table(spark, d, "identity_records"), table(spark, d, "fan_xref"), cut).select("fan_id", "field_name", "rec_id"))
 
 
 def p2_golden_fans(spark: SparkSession, d: str) -> DataFrame:
-    return survivorship.golden_fans(table(spark, d, "identity_records"), table(spark, d, "fan_xref"), Cut(spark, "p2"))
+    cut = Cut(spark, "p2")
+    return cut.finish(survivorship.golden_fans(table(spark, d, "identity_records"), table(spark, d, "fan_xref"), cut))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,15 +25,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return linking.linked_pairs(table(spark, d, "identity_records"), table(spark, d, "fan_xref"), Cut(spark, "p3"))
+    cut = Cut(spark, "p3")
+    return cut.finish(linking.linked_pairs(table(spark, d, "identity_records"), table(spark, d, "fan_xref"), cut))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return groups.match_groups(table(spark, d, "match_pairs"), Cut(spark, "p4"))
+    cut = Cut(spark, "p4")
+    return cut.finish(groups.match_groups(table(spark, d, "match_pairs"), cut))
 
 
 def p4_crosswalk(spark: SparkSession, d: str) -> DataFrame:
-    return groups.crosswalk(table(spark, d, "identity_records"), table(spark, d, "match_pairs"), Cut(spark, "p4"))
+    cut = Cut(spark, "p4")
+    return cut.finish(groups.crosswalk(table(spark, d, "identity_records"), table(spark, d, "match_pairs"), cut))
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
