@@ -64,15 +64,17 @@ class Cut:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         self.live: dict[int, str] = {}
 
-    def table(self, df: DataFrame, mark: list[str] | None = None) -> DataFrame:
-        """With `mark` the result's `.mark` tells sets of rows apart by these columns; it is observed while they are written."""
+    def table(self, df: DataFrame, mark: list[str] | None = None, seen: list[Column] | None = None) -> DataFrame:
+        """The rows, written and read back. Aggregates are observed while they are written: with `mark` the result's `.mark`
+        tells sets of rows apart by these columns, and the named aggregates `seen` come as `.seen`."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        watch = Observation() if mark else None
-        marked = df.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*mark).cast("decimal(38,0)")).alias("h")) if mark else df
-        marked.write.parquet(path)
+        asked = list(seen or []) + ([F.count(F.lit(1)).alias("mark_n"), F.sum(F.xxhash64(*mark).cast("decimal(38,0)")).alias("mark_h")] if mark else [])
+        watch = Observation() if asked else None
+        (df.observe(watch, *asked) if watch else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._cut, out.mark = self.n, tuple(watch.get.values()) if watch else None
+        out.seen = dict(watch.get) if watch else {}
+        out._cut, out.mark = self.n, (out.seen.pop("mark_n", None), out.seen.pop("mark_h", None))
         self.live[self.n] = path
         return out
 
