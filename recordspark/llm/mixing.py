@@ -27,9 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.subjects import Hasher, sentences, spread
+from recordspark.llm.subjects import Hasher, sentences
 from recordspark.llm.tokens import FOLDER, token_count
-from recordspark.runtime import Cut
+from recordspark.runtime import Cut, spread
 
 MAX_LABELLED = 4000
 BUCKETS = 1024

@@ -1,127 +1,185 @@
 """Filling fixed-capacity containers with items.
 
-Method: bulk-synchronous best-fit. Documents are sorted by size and gaps by room; in each superstep the largest
-documents still to place sweep over the gaps for the tightest one that takes them, rank among equals settles which
-document takes which gap, gaps are updated, and the next superstep follows.
-
-Sizes are whole numbers up to the capacity, so documents of one size are interchangeable and so are gaps: a superstep
-is a size class, documents are represented by their count, containers by runs of consecutive numbers with equal
-gaps. The sweep so needs one row per size, at most the capacity, whatever the number of documents; what is
-distributed is the ranking of documents within their size, in SHARDS parts so that no size is a hot group, and the
-join that hands rank ranges their containers. This gives the same placement as rounds over the rows would, with two
-shuffles of (doc_id, size) instead of two per round.
+Method: bulk-synchronous best-fit. Documents and gaps (room left in open containers) are sorted by size, in SHARDS parts
+of each size; a sweep from large to small matches every document with the tightest gap that takes it and no larger
+document has taken: gaps open a level of a stack, documents close the level on top. Levels come from running sums over
+the sorted sizes, so conflicts are settled by rank, and a document meets its gap by (limit, level) in a window that
+holds at most one row per size and part. Gaps are updated and the sweep is repeated while it places anything; documents
+that no gap takes open containers of their own. Sizes are worked off in classes from large to small, in which a wide
+gap offers several slots at once. The driver sees counts by limit, nothing else.
 
 Only a text longer than a container is split: into full containers and a rest that is packed like a document.
 
 Defined results: null and empty texts have no tokens and come out with a null container; repeated doc_ids count
-once; ties are broken by doc_id; a null or non-positive capacity is no limit and is left out; extra columns are not
-read; no documents give an empty result.
+once, documents without a doc_id each for itself; ties are broken by a hash of doc_id, then doc_id; a null or
+non-positive capacity is no limit and is left out; of two capacities for a limit_id the smaller counts; extra columns
+are not read; no documents give an empty result. More than MAX_LIMITS limits are an error.
 """
 
 from __future__ import annotations
 
-import bisect
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.llm.tokens import FOLDER, document_sizes
 from recordspark.runtime import Cut
 
 SHARDS = 64
+MAX_LIMITS = 100
+OUT = "limit_id int, doc_id long, piece int, start_token long, n_tokens long, container_id string"
+
 
+def class_bounds(capacity: int) -> list[int]:
+    """Upper bounds of the size classes, from the capacity down: its halves and thirds, then two thirds of the bound before."""
+    bounds, x = [capacity, capacity // 2, capacity // 3], 4.0
+    while capacity // x >= 1:
+        bounds.append(int(capacity // x))
+        x *= 1.5
+    return sorted({b for b in bounds if b >= 1}, reverse=True)
 
-class Gaps:
-    """Runs of containers by the room they have left."""
 
-    def __init__(self) -> None:
-        self.rooms: list[int] = []
-        self.runs: dict[int, list[tuple[int, int]]] = {}
+def pieces(sizes: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
+    """limit_id, doc_id, piece, start, size, is_full: full containers of long texts, and the rest that is to be packed."""
+    caps = F.explode(F.array(*[F.struct(F.lit(i).alias("limit_id"), F.lit(c).cast("long").alias("capacity")) for i, c in limits]))
+    rows = sizes.withColumn("cap", caps).select("doc_id", "n_tokens", "cap.*")
+    number = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")
+    cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), number - 1)))
+    size = F.least(F.col("capacity"), F.col("n_tokens") - F.col("piece") * F.col("capacity"))
+    return cut.select("limit_id", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start"), size.alias("size"), ((size == F.col("capacity")) & (size > 0)).alias("is_full"))
+
 
-    def add(self, room: int, first: int, count: int) -> None:
-        if room <= 0 or count <= 0:
-            return
-        if room not in self.runs:
-            bisect.insort(self.rooms, room)
-            self.runs[room] = []
-        self.runs[room].append((first, count))
+def _by_limit(values: dict[int, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("limit_id"))
 
-    def tightest(self, size: int) -> int | None:
-        i = bisect.bisect_left(self.rooms, size)
-        return self.rooms[i] if i < len(self.rooms) else None
 
-    def take(self, room: int, most: int) -> tuple[int, int]:
-        """At most `most` containers of a run with this room: (first, count)."""
-        first, count = self.runs[room].pop()
-        if count > most:
-            self.runs[room].append((first + most, count - most))
-            count = most
-        if not self.runs[room]:
-            del self.runs[room]
-            self.rooms.remove(room)
-        return first, count
+def _shard(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SHARDS)).cast("int")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
-    """Placement of items by size class: (size, rank of the first item, number of items, container of the first item).
+def sweep(items: DataFrame, gaps: DataFrame, lower: dict[int, int], upper: dict[int, int]) -> DataFrame:
+    """The items with `gap_id`, the tightest gap that takes each and no larger one has taken; null where there is none.
 
-    Items of a row go one each to consecutive containers. Ranks and containers start with 0.
+    items: limit_id, doc_id, piece, start, size; gaps: limit_id, gap_id, room. Items of a limit are over `lower` and at
+    most `upper`; a gap of at least twice `upper` offers as many slots as it has room for such items.
     """
-    gaps, out, opened = Gaps(), [], 0
-    for size in sorted(counts, reverse=True):
-        left, rank = counts[size], 0
-        while left:
-            room = gaps.tightest(size)
-            if room is None:
-                room = capacity
-                need = -(-left // (capacity // size))
-                gaps.add(capacity, opened, need)
-                opened += need
-            deep = min(room // size, left)  # so many items a container takes before another gap is tighter
-            first, count = gaps.take(room, max(1, left // deep))
-            for _ in range(deep):
-                out.append((size, rank, count, first))
-                rank += count
-            left -= deep * count
-            gaps.add(room - deep * size, first, count)
+    k = F.greatest(F.lit(1), F.floor(F.col("room") / _by_limit(upper))).cast("int")
+    slots = gaps.filter(F.col("limit_id").isin(list(lower)) & (F.col("room") > _by_limit(lower))).withColumn("k", k)
+    slots = slots.select("limit_id", F.floor(F.col("room") / F.col("k")).alias("size"), F.lit(0).alias("is_item"), _shard(F.col("gap_id")).alias("shard"), F.col("gap_id").alias("id"), F.explode(F.sequence(F.lit(1), F.col("k"))).alias("piece"), F.lit(None).cast("long").alias("start"))
+    rows = slots.unionByName(items.select("limit_id", "size", F.lit(1).alias("is_item"), _shard(F.col("doc_id")).alias("shard"), F.col("doc_id").alias("id"), "piece", "start"))
+    part = ["limit_id", "size", "is_item", "shard"]
+    order = [F.col("size").desc(), F.col("is_item"), F.col("shard")]  # a gap of just the size comes before the item
+    counts = rows.groupBy(*part).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("limit_id").orderBy(*order)  # a row per size and part: bounded by the capacity, not by the documents
+    step = F.when(F.col("is_item") == 0, F.col("n")).otherwise(-F.col("n"))
+    counts = counts.withColumn("after", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lowest = F.min("after").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*part, (F.col("after") - step - F.least(F.lit(0), F.coalesce(lowest, F.lit(0)))).alias("depth"))
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("id", "piece"))).join(counts, part)
+    level = F.when(F.col("is_item") == 0, F.col("depth") + F.col("r")).otherwise(F.col("depth") - F.col("r") + 1)
+    stack = Window.partitionBy("limit_id", "level").orderBy(*order)  # each size and part touches a level once
+    met = ranked.withColumn("level", level).withColumn("gap_id", F.lag(F.when(F.col("is_item") == 0, F.col("id"))).over(stack))
+    return met.filter("is_item = 1").select("limit_id", F.col("id").alias("doc_id"), "piece", "start", "size", F.when(F.col("level") > 0, F.col("gap_id")).alias("gap_id"))
+
+
+def opened(items: DataFrame, per: dict[int, int], first: dict[int, int], cut: Cut) -> DataFrame:
+    """The items with `gap_id`, the number of a new container; `per` items of a limit share one, in order of size."""
+    rows = items.withColumn("shard", _shard(F.col("doc_id")))
+    part = ["limit_id", "size", "shard"]
+    counts = rows.groupBy(*part).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("limit_id").orderBy(F.col("size").desc(), "shard").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("doc_id", "piece"))).join(counts.select(*part, F.coalesce(before, F.lit(0)).alias("before")), part)
+    number = F.floor((F.col("before") + F.col("r") - 1) / _by_limit(per)).cast("long") + _by_limit(first)
+    return ranked.select("limit_id", "doc_id", "piece", "start", "size", number.alias("gap_id"))
+
+
+def _room_left(gaps: DataFrame | None, placed: DataFrame, caps: dict[int, int]) -> DataFrame:
+    """The gaps after these items were placed; containers that are not among the gaps are new."""
+    used = placed.groupBy("limit_id", "gap_id").agg(F.sum("size").alias("used"))
+    if gaps is None:
+        return used.select("limit_id", "gap_id", (_by_limit(caps) - F.col("used")).cast("long").alias("room")).filter("room > 0")
+    met = gaps.join(used, ["limit_id", "gap_id"], "full_outer")
+    room = F.coalesce("room", _by_limit(caps)) - F.coalesce("used", F.lit(0))
+    return met.select("limit_id", "gap_id", room.cast("long").alias("room")).filter("room > 0")
+
+
+def best_fit(items: DataFrame, caps: dict[int, int], cut: Cut) -> DataFrame | None:
+    """limit_id, doc_id, piece, start, size and gap_id of every item (none larger than its limit's capacity)."""
+    classes = {i: class_bounds(c) for i, c in caps.items()}
+    index = F.lit(0)
+    for i, bounds in classes.items():
+        for j, b in enumerate(bounds):
+            index = F.when((F.col("limit_id") == i) & (F.col("size") <= b), j).otherwise(index)
+    todo = cut.table(items.select("limit_id", "doc_id", "piece", "start", "size").withColumn("class", index))
+    waiting: dict[int, dict[int, int]] = {}
+    for r in todo.groupBy("limit_id", "class").agg(F.count("*").alias("n")).collect():
+        waiting.setdefault(r["limit_id"], {})[r["class"]] = r["n"]
+    at: dict[int, int] = {}  # the class that a limit works on
+    next_id = dict.fromkeys(caps, 0)
+    gaps, rest, done = None, None, []  # rest: items of the classes in work that found no gap so far
+
+    def enter(i: int) -> Column | None:
+        if not waiting.get(i):
+            at.pop(i, None)
+            return None
+        at[i] = min(waiting[i])
+        waiting[i].pop(at[i])
+        return (F.col("limit_id") == i) & (F.col("class") == at[i])
+
+    fresh = [c for i in caps if (c := enter(i)) is not None]
+    while at:
+        new = todo.filter(_any(fresh)).drop("class") if fresh else None
+        items = new if rest is None else rest if new is None else rest.unionByName(new)
+        lower = {i: (classes[i][c + 1] if c + 1 < len(classes[i]) else 0) for i, c in at.items()}
+        upper = {i: classes[i][c] for i, c in at.items()}
+        own = lambda i, hit: F.count_if((F.col("limit_id") == i) & (F.col("gap_id").isNotNull() if hit else F.col("gap_id").isNull())).alias(f"{'hit' if hit else 'left'}_{i}")
+        swept = cut.table(items.withColumn("gap_id", F.lit(None).cast("long")) if gaps is None else sweep(items, gaps, lower, upper), seen=[own(i, hit) for i in at for hit in (True, False)])
+        seen = {i: (swept.seen[f"hit_{i}"], swept.seen[f"left_{i}"]) for i in at}
+        stuck = {i: left for i, (hit, left) in seen.items() if left and not hit}
+        placed = [swept.filter("gap_id is not null")] if any(hit for hit, _ in seen.values()) else []
+        if stuck:  # the sweep is complete: what no gap takes opens containers
+            per = {i: max(1, caps[i] // upper[i]) for i in stuck}
+            alone = cut.table(opened(swept.filter(F.col("limit_id").isin(list(stuck)) & F.col("gap_id").isNull()).drop("gap_id"), per, {i: next_id[i] for i in stuck}, cut))
+            placed.append(alone)
+            for i, n in stuck.items():
+                next_id[i] += -(-n // per[i])
+        done += placed
+        before, gaps = gaps, cut.table(_room_left(gaps, placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1]), caps))
+        cut.drop(before)
+        finished = [i for i in at if i in stuck or not seen[i][1]]
+        open_limits = [i for i in at if i not in finished]
+        rest = swept.filter(F.col("limit_id").isin(open_limits) & F.col("gap_id").isNull()).drop("gap_id") if open_limits else None
+        fresh = [c for i in finished if (c := enter(i)) is not None]
+    out = None
+    for df in done:
+        out = df if out is None else out.unionByName(df)
     return out
 
 
-def pieces(sizes: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
-    """limit_id, doc_id, piece, start, size, is_full: full containers of long texts, and the rest that is to be packed."""
-    caps = F.explode(F.array(*[F.struct(F.lit(i).alias("limit_id"), F.lit(c).cast("long").alias("capacity")) for i, c in limits]))
-    rows = sizes.withColumn("cap", caps).select("doc_id", "n_tokens", "cap.*")
-    number = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")
-    cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), number - 1)))
-    size = F.least(F.col("capacity"), F.col("n_tokens") - F.col("piece") * F.col("capacity"))
-    return cut.select("limit_id", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start"), size.alias("size"), ((size == F.col("capacity")) & (size > 0)).alias("is_full"))
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def read_limits(limits: DataFrame) -> dict[int, int]:
+    rows = limits.filter("limit_id is not null and capacity_tokens > 0").groupBy("limit_id").agg(F.min("capacity_tokens").alias("c")).orderBy("limit_id").limit(MAX_LIMITS + 1).collect()
+    if len(rows) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits")
+    return {r["limit_id"]: r["c"] for r in rows}
 
 
 def pack(documents: DataFrame, limits: DataFrame, cut: Cut, folder: str = FOLDER) -> DataFrame:
     """limit_id, doc_id, piece, start_token, n_tokens and container_id of every piece of every document."""
-    spark = documents.sparkSession
-    caps = [(r["limit_id"], r["capacity_tokens"]) for r in limits.filter("limit_id is not null and capacity_tokens > 0").select("limit_id", "capacity_tokens").distinct().orderBy("limit_id", "capacity_tokens").limit(1000).collect()]
-    empty = "limit_id int, doc_id long, piece int, start_token long, n_tokens long, container_id string"
+    caps = read_limits(limits)
     if not caps:
-        return spark.createDataFrame([], empty)
-    parts = pieces(cut.table(document_sizes(documents, folder)), caps)
-    out = ["limit_id", "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens")]
-    alone = parts.filter("is_full or size = 0").select(*out, F.when(F.col("is_full"), F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("-"), "piece")).alias("container_id"))
-    items = parts.filter("not is_full and size > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"))
-    shards = items.groupBy("limit_id", "size", "shard").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("limit_id", "size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    shards = cut.table(shards.withColumn("offset", F.coalesce(before, F.lit(0))))
-    counts: dict[int, dict[int, int]] = {}
-    for r in shards.groupBy("limit_id", "size").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
-        counts.setdefault(r["limit_id"], {})[r["size"]] = r["n"]
-    plan = [(i, s, rank, n, first) for i, cap in caps for s, rank, n, first in best_fit(counts.get(i, {}), cap)]
-    rows = spark.createDataFrame(plan, "limit_id int, size long, rank long, n long, first long")
-    ranges = rows.groupBy("limit_id", "size").agg(F.array_sort(F.collect_list(F.struct("rank", "first"))).alias("ranges"))  # one size's ranges, bounded as the plan is
-    local = F.row_number().over(Window.partitionBy("limit_id", "size", "shard").orderBy("doc_id"))
-    ranked = items.withColumn("local", local).join(shards.drop("n"), ["limit_id", "size", "shard"]).withColumn("at", F.col("offset") + F.col("local") - 1)
-    placed = ranked.join(ranges, ["limit_id", "size"]).withColumn("r", F.element_at(F.filter("ranges", lambda x: x["rank"] <= F.col("at")), -1))
-    number = F.col("r.first") + F.col("at") - F.col("r.rank")
-    return placed.select(*out, F.concat(F.lit("c"), number).alias("container_id")).unionByName(alone)
+        return documents.sparkSession.createDataFrame([], OUT)
+    parts = pieces(cut.table(document_sizes(documents, folder)), list(caps.items()))
+    shape = ["limit_id", "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens")]
+    whole = parts.filter("is_full or size = 0").withColumn("own", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.monotonically_increasing_id())))
+    alone = whole.select(*shape, F.when(F.col("is_full"), F.concat(F.lit("d"), "own", F.lit("-"), "piece")).alias("container_id"))
+    placed = best_fit(parts.filter("not is_full and size > 0"), caps, cut)
+    return alone if placed is None else placed.select(*shape, F.concat(F.lit("c"), "gap_id").alias("container_id")).unionByName(alone)
 
 
 def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def p4_crosswalk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_limits"), Cut(spark, "p8"))
+    cut = Cut(spark, "p8")
+    return cut.finish(packing.pack(table(spark, d, "documents"), table(spark, d, "pack_limits"), cut))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:

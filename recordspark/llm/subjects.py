@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordspark.runtime import spread
+
 BITS = 16
 SHARE = 0.25
 MAX_LABELLED = 8000
@@ -224,11 +226,5 @@ def subjects_of(documents: DataFrame, model: SubjectModel) -> DataFrame:
     return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(score, f"doc_id {kind}, subject string")
 
 
-def spread(documents: DataFrame) -> DataFrame:
-    """The scan as it is; spread over the cores only where it has fewer partitions than these (a small file)."""
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    return documents.repartition(2 * cores) if documents.rdd.getNumPartitions() < cores else documents
-
-
 def found_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     return subjects_of(spread(documents), train(documents, labels, subjects))

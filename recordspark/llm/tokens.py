@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordspark.runtime import spread
+
 FOLDER = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -38,8 +40,7 @@ def token_count(text: Column, folder: str = FOLDER) -> Column:
 
 
 def document_sizes(documents: DataFrame, folder: str = FOLDER, *more: str) -> DataFrame:
-    """doc_id, n_tokens and the columns named in `more`; a doc_id met several times counts once, with its longest text."""
-    from recordspark.llm.subjects import spread
-
+    """doc_id, n_tokens and the columns named in `more`; a doc_id met several times counts once, with its longest text, a row without one for itself."""
     rows = spread(documents.select("doc_id", "text", *more)).select("doc_id", token_count(F.col("text"), folder).alias("n_tokens"), *more)
-    return rows.groupBy("doc_id").agg(F.max(F.struct("n_tokens", *more)).alias("r")).select("doc_id", "r.*")
+    known = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_tokens", *more)).alias("r")).select("doc_id", "r.*")
+    return known.unionByName(rows.filter("doc_id is null"))

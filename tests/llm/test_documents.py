@@ -26,18 +26,44 @@ def decreasing(items, cap):
     return len(rooms)
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_best_fit_needs_no_more_than_the_sequential_one(seed):
-    rng = np.random.default_rng(seed)
-    cap = int(rng.integers(3, 60))
-    items = rng.integers(1, cap + 1, int(rng.integers(1, 150)))
-    load, placed = {}, set()
-    for size, rank, n, first in packing.best_fit({int(a): int(b) for a, b in zip(*np.unique(items, return_counts=True))}, cap):
-        for j in range(n):
-            assert (size, rank + j) not in placed
-            placed.add((size, rank + j))
-            load[first + j] = load.get(first + j, 0) + size
-    assert len(placed) == len(items) and max(load.values()) <= cap and len(load) == decreasing(items, cap)
+def test_best_fit_needs_hardly_more_than_the_sequential_one(spark, cut):
+    """Twenty limits at once, each with its own items."""
+    rows, caps, least = [], {}, {}
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        caps[seed] = int(rng.integers(3, 60))
+        items = rng.integers(1, caps[seed] + 1, int(rng.integers(1, 150)))
+        rows += [(seed, i, 0, 0, int(x)) for i, x in enumerate(items)]
+        least[seed] = decreasing(items, caps[seed])
+    got = packing.best_fit(spark.createDataFrame(rows, "limit_id int, doc_id long, piece int, start long, size long"), caps, cut).collect()
+    assert sorted((r.limit_id, r.doc_id, r.size) for r in got) == sorted((a, b, e) for a, b, _, _, e in rows)
+    load, used = {}, dict.fromkeys(caps, 0)
+    for r in got:
+        used[r.limit_id] += (r.limit_id, r.gap_id) not in load
+        load[r.limit_id, r.gap_id] = load.get((r.limit_id, r.gap_id), 0) + r.size
+    assert all(n <= caps[i] for (i, _), n in load.items())
+    assert sum(used.values()) <= 1.01 * sum(least.values()) and all(used[i] <= least[i] + 1 for i in caps)
+
+
+def test_a_sweep_gives_the_tightest_gap_to_the_largest_item(spark):
+    items = spark.createDataFrame([(1, i, 0, 0, s) for i, s in enumerate([5, 5, 4, 3, 9])], "limit_id int, doc_id long, piece int, start long, size long")
+    gaps = spark.createDataFrame([(1, 10, 5), (1, 11, 7), (1, 12, 4), (1, 13, 8)], "limit_id int, gap_id long, room long")
+    got = packing.sweep(items, gaps, {1: 2}, {1: 9}).collect()
+    assert sorted((r["size"], r.gap_id) for r in got if r["size"] != 5) == [(3, 13), (4, 12), (9, None)] and {r.gap_id for r in got if r["size"] == 5} == {10, 11}
+
+
+def test_a_million_documents_send_only_counts_to_the_driver(spark, cut, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    most, plain = [0], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (lambda rows: (most.append(len(rows)), rows)[1])(plain(self)))
+    # a third of all documents have one size
+    size = F.when(F.col("id") % 3 == 0, 37).otherwise(F.greatest(F.lit(1), F.least(F.lit(511), F.exp(F.lit(3.2) + 1.1 * F.randn(7)).cast("long"))))
+    items = cut.table(spark.range(1_000_000).select(F.lit(1).alias("limit_id"), F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), size.cast("long").alias("size")))
+    placed = packing.best_fit(items, {1: 512}, cut)
+    load = placed.groupBy("gap_id").agg(F.sum("size").alias("t"), F.count("*").alias("n")).agg(F.max("t"), F.sum("t"), F.count("*"), F.sum("n")).first()
+    assert load[0] <= 512 and load[3] == 1_000_000 and load[1] > 0.999 * 512 * load[2]
+    assert max(most) <= 20
 
 
 def test_packing_is_whole(spark, cut):
