@@ -5,7 +5,8 @@ the labelled ones (naive Bayes on hashed words, at most MAX_LABELLED documents w
 Projected gradient least squares fits a nonnegative rate per document, at most the repeats its sources allow, whose
 expected source totals meet the targets. A document's rate is the projection of the step sizes that its sources have
 gathered, so the state of the fit is one number per mix and source, and a round is one aggregate over the documents:
-known ones enter as token sums by source, made once.
+known ones enter as token sums by source, made once. The squared error falls from round to round (a step that would raise
+it is taken back and halved) until it settles; a fit that does not settle is an error.
 
 Rates become whole copies: the whole part for all, one more for documents in hash buckets (BUCKETS per mix and source)
 that are taken in order while their tokens fit, so drawn totals meet fitted ones to within a part of a bucket.
@@ -33,8 +34,8 @@ from recordspark.runtime import Cut, spread
 
 MAX_LABELLED = 4000
 BUCKETS = 1024
-ROUNDS = 25
-SETTLED = 1e-4
+MAX_TARGETS = 10_000
+MAX_ROUNDS, SETTLED = 200, 1e-4
 BITS = 16
 
 
@@ -90,9 +91,11 @@ def soft_members(documents: DataFrame, model: SourceModel) -> DataFrame:
 
 
 def read_targets(targets: DataFrame) -> dict[str, dict[str, tuple[float, int]]]:
-    """mix -> source -> (share, repeats). The table of mixes is a parameter of the job; at most 10,000 rows are taken."""
+    """mix -> source -> (share, repeats). The table of mixes is a parameter of the job; more than MAX_TARGETS rows are an error."""
     t = targets.filter("mix_id is not null and target_share > 0").select("mix_id", plain_source(F.col("source")).alias("src"), "target_share", F.coalesce("max_repeat", F.lit(1)).alias("most")).filter("src is not null")
-    rows = t.groupBy("mix_id", "src").agg(F.sum("target_share").alias("share"), F.max("most").alias("most")).orderBy("mix_id", "src").limit(10_000).collect()
+    rows = t.groupBy("mix_id", "src").agg(F.sum("target_share").alias("share"), F.max("most").alias("most")).orderBy("mix_id", "src").limit(MAX_TARGETS + 1).collect()
+    if len(rows) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     out: dict[str, dict[str, tuple[float, int]]] = {}
     for r in rows:
         out.setdefault(r["mix_id"], {})[r["src"]] = (r["share"], max(0, r["most"]))
@@ -130,24 +133,35 @@ def fit_rates(mixes: dict[str, dict[str, tuple[float, int]]], known: dict[str, i
         steps[mix] = {s: goal[mix][s] / have[s] for s in live}
     if soft is None:
         return steps
-    for _ in range(ROUNDS):
+    pace, least, best = dict.fromkeys(steps, 1.0), dict.fromkeys(steps, float("inf")), {mix: dict(step) for mix, step in steps.items()}
+    open_mixes = [mix for mix, step in steps.items() if any(s in at for s in step)]
+    for _ in range(MAX_ROUNDS):
+        if not open_mixes:
+            return best
         sums = []
-        for i, (mix, step) in enumerate(steps.items()):
+        for mix in open_mixes:
+            i, step = list(steps).index(mix), steps[mix]
             rate = _soft_rate(step, {s: mixes[mix][s][1] for s in step}, names)
             sums += [F.sum(F.col("n_tokens") * rate * F.element_at("post", at[s])).alias(f"m{i}_{at[s]}") for s in step if s in at]
-        if not sums:
-            break
         r = soft.agg(*sums).first()
-        worst = 0.0
-        for i, (mix, step) in enumerate(steps.items()):
-            for s in step:
-                got = min(step[s], mixes[mix][s][1]) * known.get(s, 0) + float((r[f"m{i}_{at[s]}"] or 0.0) if s in at else 0.0)
-                miss = goal[mix][s] - got
-                worst = max(worst, abs(miss) / max(1.0, sum(goal[mix].values())))
-                step[s] = min(max(0.0, step[s] + miss / max(1.0, size[mix][s])), float(mixes[mix][s][1]))
-        if worst < SETTLED:
-            break
-    return steps
+        for mix in list(open_mixes):
+            i, step, whole = list(steps).index(mix), steps[mix], max(1.0, sum(goal[mix].values()))
+            got = {s: min(step[s], mixes[mix][s][1]) * known.get(s, 0) + float((r[f"m{i}_{at[s]}"] or 0.0) if s in at else 0.0) for s in step}
+            miss = {s: goal[mix][s] - got[s] for s in step}
+            error = sum((m / whole) ** 2 for m in miss.values())
+            if error > least[mix]:  # too long a step: back to the best rates and on with half the pace
+                pace[mix] /= 2
+                steps[mix] = dict(best[mix])
+            elif error >= (1 - SETTLED) * least[mix] or max(map(abs, miss.values()), default=0.0) < SETTLED * whole:
+                best[mix], least[mix] = dict(step), error
+                open_mixes.remove(mix)
+                continue
+            else:
+                least[mix], best[mix] = error, dict(step)
+                steps[mix] = {s: min(max(0.0, step[s] + pace[mix] * miss[s] / max(1.0, size[mix][s])), float(mixes[mix][s][1])) for s in step}
+            if pace[mix] < 1e-6:
+                open_mixes.remove(mix)  # no step falls any more: the projected optimum
+    raise RuntimeError("the rates did not settle")
 
 
 def _prepared(documents: DataFrame, cut: Cut, folder: str) -> tuple[DataFrame, DataFrame | None, list[str]]:

@@ -135,7 +135,7 @@ def best_fit(items: DataFrame, caps: dict[int, int], cut: Cut) -> DataFrame | No
         swept = cut.table(items.withColumn("gap_id", F.lit(None).cast("long")) if gaps is None else sweep(items, gaps, lower, upper), seen=[own(i, hit) for i in at for hit in (True, False)])
         seen = {i: (swept.seen[f"hit_{i}"], swept.seen[f"left_{i}"]) for i in at}
         stuck = {i: left for i, (hit, left) in seen.items() if left and not hit}
-        placed = [swept.filter("gap_id is not null")] if any(hit for hit, _ in seen.values()) else []
+        placed = [swept] if any(hit for hit, _ in seen.values()) else []
         if stuck:  # the sweep is complete: what no gap takes opens containers
             per = {i: max(1, caps[i] // upper[i]) for i in stuck}
             alone = cut.table(opened(swept.filter(F.col("limit_id").isin(list(stuck)) & F.col("gap_id").isNull()).drop("gap_id"), per, {i: next_id[i] for i in stuck}, cut))
@@ -143,16 +143,13 @@ def best_fit(items: DataFrame, caps: dict[int, int], cut: Cut) -> DataFrame | No
             for i, n in stuck.items():
                 next_id[i] += -(-n // per[i])
         done += placed
-        before, gaps = gaps, cut.table(_room_left(gaps, placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1]), caps))
+        before, gaps = gaps, cut.table(_room_left(gaps, cut.together(placed).filter("gap_id is not null"), caps))
         cut.drop(before)
         finished = [i for i in at if i in stuck or not seen[i][1]]
         open_limits = [i for i in at if i not in finished]
         rest = swept.filter(F.col("limit_id").isin(open_limits) & F.col("gap_id").isNull()).drop("gap_id") if open_limits else None
         fresh = [c for i in finished if (c := enter(i)) is not None]
-    out = None
-    for df in done:
-        out = df if out is None else out.unionByName(df)
-    return out
+    return cut.together(done).filter("gap_id is not null") if done else None
 
 
 def _any(conditions: list[Column]) -> Column:

@@ -49,13 +49,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"), Cut(spark, "p9"))
+    cut = Cut(spark, "p9")
+    return cut.finish(mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"), cut))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     cut = Cut(spark, "p9")
     drawn = cut.table(mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"), cut))
-    return mixing.share_report(drawn, table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return cut.finish(mixing.share_report(drawn, table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

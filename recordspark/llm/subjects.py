@@ -3,8 +3,8 @@
 Method: one-versus-rest linear classifiers on hashed word n-grams. The labels are weak: they say of a whole document
 which subjects it has, and only part of its sentences are about them. So sentences are the examples; which of a
 document's subjects a sentence speaks of is found by expectation-maximisation over the labelled documents, the
-classifiers are fitted to that, and the margin from which a sentence counts as about a subject is calibrated on
-held-out labelled documents. A document has the subjects that at least SHARE of its subject sentences are about.
+classifiers are fitted to that, and the margin of each subject, from which a sentence counts as about it, is calibrated
+on held-out labelled documents; a sentence may be about several subjects. A document has the subjects that at least SHARE of its subject sentences are about.
 
 The fit uses at most MAX_LABELLED documents with labels (those with the least hash); scoring covers whole texts of
 all documents in Arrow batches, with the weight matrix, of fixed size, as a broadcast.
@@ -29,12 +29,12 @@ from recordspark.runtime import spread
 
 BITS = 16
 SHARE = 0.25
-MAX_LABELLED = 8000
+MAX_LABELLED, MAX_SUBJECTS = 8000, 1000
 EM_ROUNDS = 6
 FIT_STEPS = 40
 MARGINS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 
-_TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]+;|[*_#`>]+")
+_TAG = re.compile(r"<[^<>]*>|&[a-z]+;|[*_#`>]+")
 _END = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|[\r\n]+|[☀-➿\U0001f300-\U0001faff]+")
 _WRAP = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")  # a word divided at the end of a line
 _MIXED = re.compile(r"(?<=[^\W\d_])[01](?=[^\W_]|\b)|(?<!\w)[01](?=[^\W\d_]{2})")  # a digit read for a letter
@@ -79,10 +79,11 @@ class Hasher:
 
 
 class SubjectModel:
-    """Weights (buckets x subjects), intercepts, the names of the subjects and the margin."""
+    """Weights (buckets x subjects), intercepts, the names of the subjects and a margin for each."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, bias: np.ndarray, margin: float) -> None:
-        self.names, self.weights, self.bias, self.margin = names, weights.astype(np.float32), bias.astype(np.float32), margin
+    def __init__(self, names: list[str], weights: np.ndarray, bias: np.ndarray, margin: float | np.ndarray) -> None:
+        self.names, self.weights, self.bias = names, weights.astype(np.float32), bias.astype(np.float32)
+        self.margin = np.broadcast_to(np.asarray(margin, dtype=float), (len(names),)).copy()
 
     def probabilities(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if not len(starts):
@@ -92,16 +93,16 @@ class SubjectModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def about(self, p: np.ndarray) -> np.ndarray:
-        """Per sentence the position of its subject, -1 for none."""
-        return np.where(p.max(axis=1, initial=0) >= self.margin, p.argmax(axis=1) if p.shape[1] else 0, -1) if len(p) else np.zeros(0, int)
+        """sentences x subjects: whether the sentence is about the subject; it may be about several."""
+        return p >= self.margin
 
     def subjects(self, about: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
         """docs x subjects: whether at least SHARE of the document's subject sentences are about the subject."""
-        hit = about >= 0
-        n = np.zeros((docs, len(self.names)))
-        np.add.at(n, (doc[hit], about[hit]), 1)
-        total = n.sum(axis=1, keepdims=True)
-        return (total > 0) & (n >= SHARE * total - 1e-9) & (n > 0)
+        n, total = np.zeros((docs, len(self.names))), np.zeros(docs)
+        row, label = np.nonzero(about)
+        np.add.at(n, (doc[row], label), 1)
+        np.add.at(total, doc[about.any(axis=1)], 1)
+        return (n > 0) & (n >= SHARE * total[:, None] - 1e-9)
 
 
 def _fit(ids: np.ndarray, row: np.ndarray, rows: int, resp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +128,14 @@ def _fit(ids: np.ndarray, row: np.ndarray, rows: int, resp: np.ndarray) -> tuple
     return weights, bias
 
 
-def fit_subjects(texts: list[str], labels: list[set[str]], names: list[str], seeds: list[tuple[str, str]], margin: float | None = None) -> SubjectModel:
-    """Fits on documents with label sets (empty: no subject). With no margin given it is calibrated on every fifth document."""
+def fit_subjects(texts: list[str], labels: list[set[str]], names: list[str], seeds: list[tuple[str, str]], margin: float | np.ndarray | None = None) -> SubjectModel:
+    """Fits on documents with label sets (empty: no subject). With no margin given they are calibrated on every fifth document."""
     if margin is None:
         held = [i for i in range(len(texts)) if i % 5 == 0]
         if len(texts) >= 50:
             rest = [i for i in range(len(texts)) if i % 5]
             trial = fit_subjects([texts[i] for i in rest], [labels[i] for i in rest], names, seeds, 0.5)
-            margin = best_margin(trial, [texts[i] for i in held], [labels[i] for i in held])
+            margin = best_margins(trial, [texts[i] for i in held], [labels[i] for i in held])
         else:
             margin = 0.4
     place = {s: j for j, s in enumerate(names)}
@@ -190,21 +191,35 @@ def document_subjects(model: SubjectModel, texts: list[str | None], hasher: Hash
     return model.subjects(model.about(p), np.array(doc, dtype=int), len(texts))
 
 
-def best_margin(model: SubjectModel, texts: list[str], labels: list[set[str]]) -> float:
-    """The margin with the best F1 of document subjects on these documents."""
-    want = np.array([[s in own for s in model.names] for own in labels])
-    best = (0.0, 0.5)
-    for m in MARGINS:
-        model.margin = m
-        got = document_subjects(model, texts, Hasher())
-        f1 = 2 * (got & want).sum() / max(1, got.sum() + want.sum())
-        best = max(best, (f1, m))
-    return best[1]
+def best_margins(model: SubjectModel, texts: list[str], labels: list[set[str]]) -> np.ndarray:
+    """A margin per subject: the common one with the best F1 of document subjects on these documents, then for each subject
+    in turn another one where that mends at least two decisions."""
+    want = np.array([[s in own for s in model.names] for own in labels]).reshape(len(labels), len(model.names))
+    sents = [sentences(t) for t in texts]
+    doc = np.repeat(np.arange(len(texts)), [len(x) for x in sents])
+    p = model.probabilities(*Hasher()([s for own in sents for s in own]))
+
+    def wrong(margin: np.ndarray) -> tuple[float, int]:
+        model.margin = margin
+        got = model.subjects(model.about(p), doc, len(texts))
+        return 2 * (got & want).sum() / max(1, got.sum() + want.sum()), int((got != want).sum())
+
+    margin = max((np.full(len(model.names), m) for m in MARGINS), key=lambda m: (wrong(m)[0], m[0]))
+    for j in range(len(model.names)):
+        errors = wrong(margin)[1]
+        for m in MARGINS:
+            other = margin.copy()
+            other[j] = m
+            if wrong(other)[1] <= errors - 2:
+                errors, margin = wrong(other)[1], other
+    return margin
 
 
 def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, most: int = MAX_LABELLED) -> SubjectModel:
     """A model from at most `most` labelled documents, in order of a hash of their id."""
-    known = subjects.filter("subject is not null").select("subject", F.concat_ws(". ", "title", "description").alias("about")).limit(1000).collect()
+    known = subjects.filter("subject is not null").select("subject", F.concat_ws(". ", "title", "description").alias("about")).limit(MAX_SUBJECTS + 1).collect()
+    if len(known) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     names = sorted({r["subject"] for r in known})
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("subject").isin([*names, "none"]))
     by_doc = usable.groupBy("doc_id").agg(F.collect_set("subject").alias("own"))
