@@ -107,4 +107,4 @@ def fan_history(snapshots: DataFrame) -> DataFrame:
     """The fan dimension's history: a surrogate fan_key per version, the period, is_current and the attributes as compared."""
     v = versions(snapshots, "fan_id", "snapshot_date", "loaded_at", fan_attributes(), "is_current")
     names = list(fan_attributes())
-    return v.select(F.xxhash64("fan_id", F.col("valid_from").cast("string")).alias("fan_key"), "fan_id", "valid_from", "valid_to", (F.col("valid_to") == F.to_date(F.lit(OPEN_END))).alias("is_current"), *names)
+    return v.select(F.conv(F.substring(F.sha1(F.concat_ws("|", "fan_id", F.col("valid_from").cast("string"))), 1, 15), 16, 10).cast("long").alias("fan_key"), "fan_id", "valid_from", "valid_to", (F.col("valid_to") == F.to_date(F.lit(OPEN_END))).alias("is_current"), *names)

@@ -63,13 +63,15 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], stamp: str) -
     return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_new")
 
 
-def next_watermark(rows: DataFrame, stamp: str, accepted: Column, current: str | None) -> DataFrame:
-    """One row: the greatest accepted stamp before the earliest rejected one, or null where the mark must stay.
+def next_watermark(rows: DataFrame, stamp: str, accepted: Column, current: str | None, by: str | None = None) -> DataFrame:
+    """One row (with `by` one per value of it): the greatest accepted stamp before the earliest rejected one, or null where the mark must stay.
 
     A rejected row without a stamp holds the mark, since nothing tells which rows precede it; so does an empty batch.
     """
-    agg = rows.agg(F.min(F.when(~accepted, F.col(stamp))).alias("ceiling"), F.count_if(~accepted & F.col(stamp).isNull()).alias("blind"))
-    safe = rows.filter(accepted).crossJoin(F.broadcast(agg)).filter("blind = 0").filter(F.col("ceiling").isNull() | (F.col(stamp) < F.col("ceiling")))
-    top = safe.agg(F.max(stamp).alias("top"))
-    keep = F.lit(True) if current is None else F.col("top") > F.lit(current)
-    return top.select(F.when(keep, F.col("top")).alias("watermark"))
+    rows = rows.select(F.col(by).alias("_by") if by else F.lit(1).alias("_by"), F.col(stamp).alias("_stamp"), accepted.alias("_ok"))
+    agg = rows.groupBy("_by").agg(F.min(F.when(~F.col("_ok"), F.col("_stamp"))).alias("ceiling"), F.count_if(~F.col("_ok") & F.col("_stamp").isNull()).alias("blind"))
+    safe = F.col("_ok") & (F.col("blind") == 0) & (F.col("ceiling").isNull() | (F.col("_stamp") < F.col("ceiling")))
+    met = rows.withColumnRenamed("_by", "_key").join(agg, F.col("_key").eqNullSafe(F.col("_by")))
+    top = F.max(F.when(safe, F.col("_stamp")))
+    mark = (F.when(top > F.lit(current), top) if current is not None else top).alias("watermark")
+    return met.groupBy("_by").agg(mark).select(F.col("_by").alias(by), "watermark") if by else met.agg(mark)

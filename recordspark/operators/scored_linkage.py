@@ -143,8 +143,11 @@ def em_session(patterns: np.ndarray, counts: np.ndarray, u: dict, held: list[str
     return m, trace
 
 
-def train(ready: DataFrame, cut: Cut, seed: int = 42) -> tuple[dict, dict, float]:
-    """(m, u, prior). u from random pairs (about U_PAIRS among at most U_RECORDS records, documented bounds), prior from the exact rules."""
+def train(ready: DataFrame, levels: DataFrame, seed: int = 42) -> tuple[dict, dict, float]:
+    """(m, u, prior). u from random pairs (about U_PAIRS among at most U_RECORDS records, documented bounds), prior from the exact rules.
+
+    m comes from the candidate pairs' pattern counts: the pairs of equal e-mail and those of equal names are told by their levels.
+    """
     n = ready.count()
     each = ready.withColumn("n", F.lit(1))
     sample = each.sample(fraction=min(1.0, U_RECORDS / max(1, n)), seed=seed) if n > U_RECORDS else each
@@ -160,15 +163,17 @@ def train(ready: DataFrame, cut: Cut, seed: int = 42) -> tuple[dict, dict, float
     pairs = lambda keys: ready.dropna(subset=keys).groupBy(*keys).agg((F.count("*") * (F.count("*") - 1) / 2).alias("c")).agg(F.sum("c")).first()[0] or 0.0
     rules = pairs(["email"]) + pairs(["phone", "last_name_f"]) - pairs(["email", "phone", "last_name_f"])
     prior = min(0.5, max(1e-9, rules / RECALL_OF_RULES / max(1.0, n * (n - 1) / 2)))
-    prof = profiles(ready)
-    by_mail, _ = em_session(*pattern_counts(agreement(blocked_pairs(prof, [["email"]]))), u, ["g_email"])
-    by_name, _ = em_session(*pattern_counts(agreement(blocked_pairs(prof, [["first_name_c", "last_name_f"]]))), u, ["g_first", "g_last"])
+    p, c = pattern_counts(levels)
+    at = list(LEVELS).index
+    mail, name = p[:, at("g_email")] == LEVELS["g_email"], (p[:, at("g_first")] == LEVELS["g_first"]) & (p[:, at("g_last")] == LEVELS["g_last"])
+    by_mail, _ = em_session(p[mail], c[mail], u, ["g_email"])
+    by_name, _ = em_session(p[name], c[name], u, ["g_first", "g_last"])
     m = {g: (by_mail[g] + by_name[g]) / 2 if g in by_mail and g in by_name else by_mail.get(g, by_name.get(g)) for g in LEVELS}
     return m, u, prior
 
 
-def linkage(people: DataFrame, cut: Cut, mode: str = "full") -> DataFrame:
-    """ref, root, method and score of every record; mode `deterministic` or `full`."""
+def linkage(people: DataFrame, cut: Cut, mode: str = "full", fixed: bool = False) -> DataFrame:
+    """ref, root, method and score of every record; mode `deterministic` or `full`, the latter with trained or fixed parameters."""
     from recordspark.operators.clusters import combined_clusters, exact_clusters
 
     if mode not in ("deterministic", "full"):
@@ -178,15 +183,21 @@ def linkage(people: DataFrame, cut: Cut, mode: str = "full") -> DataFrame:
     if mode == "deterministic":
         return combined_clusters(people, exact, none, cut)
     ready = cut.table(match_ready(people))
-    scored = scored_pairs(ready, cut).filter("band = 'auto_merge'").select("ref_l", "ref_r", "probability")
+    scored = cut.table(scored_pairs(ready, cut, fixed).filter("band = 'auto_merge'").select("ref_l", "ref_r", "probability"))
     return combined_clusters(people, exact, scored, cut)
 
 
-def scored_pairs(ready: DataFrame, cut: Cut) -> DataFrame:
-    """All candidate pairs of profiles with trained scores, and for profiles of several records the pairs that tie these to the least ref."""
-    m, u, prior = train(ready, cut)
+def pair_levels(ready: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
+    """(profiles, agreement levels of all their candidate pairs), each written once; training and scores read the same pairs."""
     prof = cut.table(profiles(ready))
-    pairs = score(agreement(blocked_pairs(prof)), m, u, prior).select("ref_l", "ref_r", "weight", "probability", "band")
+    return prof, cut.table(agreement(blocked_pairs(prof)))
+
+
+def scored_pairs(ready: DataFrame, cut: Cut, fixed: bool = False) -> DataFrame:
+    """All candidate pairs of profiles with trained (or the fixed) parameters' scores, and for profiles of several records the pairs that tie these to the least ref."""
+    prof, levels = pair_levels(ready, cut)
+    m, u, prior = (FIXED_M, FIXED_U, FIXED_PRIOR) if fixed else train(ready, levels)
+    pairs = score(levels, m, u, prior).select("ref_l", "ref_r", "weight", "probability", "band")
     one = F.col("n") > 1
     copies = ready.join(prof.filter(one).select(*[F.col(a).alias(f"p_{a}") for a in ATTRIBUTES], F.col("ref").alias("ref_l")), [ready[a].eqNullSafe(F.col(f"p_{a}")) for a in ATTRIBUTES])
     own = copies.filter("ref <> ref_l").withColumn("l", F.struct(F.col("ref_l").alias("ref"), *[F.col(a) for a in ATTRIBUTES], F.lit(1).alias("n"))).withColumn("r", F.struct(F.col("ref"), *[F.col(a) for a in ATTRIBUTES], F.lit(1).alias("n")))

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LAYERS = ["staging", "identity", "core", "marts"]
@@ -34,7 +34,9 @@ class Context:
         return self.spark.read.parquet(f"{self.source}/{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.warehouse}/{name.replace('.', '/')}")
+        path = f"{self.warehouse}/{name.replace('.', '/')}"
+        settle(self.spark, path)
+        return self.spark.read.parquet(path)
 
 
 Model = Callable[[Context], DataFrame]
@@ -58,16 +60,31 @@ def _paths(spark: SparkSession, path: str):
 
 
 def swap_in(df: DataFrame, path: str) -> int:
-    """Writes beside the table and renames; the number of rows."""
+    """Writes beside the table, sets the old one aside, renames the new one and deletes the old; the number of rows.
+
+    A crash leaves the old table, the new one, or the old one aside, which `settle` puts back.
+    """
     spark, fresh = df.sparkSession, f"{path}.new-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(fresh)
-    n = spark.read.parquet(fresh).count()
-    new, fs = _paths(spark, fresh)
-    old, _ = _paths(spark, path)
+    settle(spark, path)
+    watch = Observation()
+    df.observe(watch, F.count(F.lit(1)).alias("n")).write.parquet(fresh)
+    (new, fs), (old, _), (aside, _) = _paths(spark, fresh), _paths(spark, path), _paths(spark, f"{path}.old")
     fs.mkdirs(old.getParent())
-    fs.delete(old, True)
-    fs.rename(new, old)
-    return n
+    if fs.exists(old) and not fs.rename(old, aside) or not fs.rename(new, old):
+        settle(spark, path)
+        raise OSError(f"{path} could not be swapped in")
+    fs.delete(aside, True)
+    return watch.get["n"]
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Ends a swap that a crash has left half done."""
+    (old, fs), (aside, _) = _paths(spark, path), _paths(spark, f"{path}.old")
+    if fs.exists(aside):
+        if fs.exists(old):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, old)
 
 
 def audit(ctx: Context, kind: str, name: str, status: str, n_rows: int | None = None, seconds: float | None = None, detail: str | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,14 +72,22 @@ def band_split(spark: SparkSession, d: str) -> DataFrame:
 def em_parameters(spark: SparkSession, d: str) -> DataFrame:
     """m and u by comparison and level, and the prior, as trained."""
     cut = Cut(spark, "em")
-    m, u, prior = S.train(cut.table(S.match_ready(_people(spark, d))), cut)
+    ready = cut.table(S.match_ready(_people(spark, d)))
+    m, u, prior = S.train(ready, S.pair_levels(ready, cut)[1])
     rows = [(g, i + 1, float(m[g][i]), float(u[g][i]), prior) for g in S.LEVELS for i in range(S.LEVELS[g])]
     return spark.createDataFrame(rows, "comparison string, level int, m double, u double, prior double")
 
 
 def unify_full(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of all records from exact rules and trained scores, with method and score."""
-    return S.linkage(_people(spark, d), Cut(spark, "full"))
+    cut = Cut(spark, "full")
+    return cut.finish(S.linkage(_people(spark, d), cut))
+
+
+def unify_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with fixed parameters."""
+    cut = Cut(spark, "fixed")
+    return cut.finish(S.linkage(_people(spark, d), cut, fixed=True).withColumn("score", F.round("score", 6)))
 
 
 def _known(spark: SparkSession, d: str) -> DataFrame:
@@ -113,12 +123,22 @@ def cluster_truth_all(spark: SparkSession, d: str) -> DataFrame:
 
 def threshold_sweep_all(spark: SparkSession, d: str) -> DataFrame:
     """One scoring pass over all records; at each threshold the records are clustered again and measured on the known ones."""
+    return _sweep(spark, d, S.scored_pairs)
+
+
+def threshold_sweep_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with fixed parameters."""
+    return _sweep(spark, d, lambda ready, cut: S.scored_pairs(ready, cut, fixed=True))
+
+
+def _sweep(spark: SparkSession, d: str, scored: Callable[[DataFrame, Cut], DataFrame]) -> DataFrame:
     cut, people, truth = Cut(spark, "sweep_all"), _people(spark, d), _truth(spark, d).withColumnRenamed("root", "entity")
     exact = cut.table(C.exact_clusters(people, cut))
-    edges = cut.table(S.scored_pairs(cut.table(S.match_ready(people)), cut).filter("probability >= 0.5").select("ref_l", "ref_r", "probability"))
+    edges = cut.table(scored(cut.table(S.match_ready(people)), cut).filter("probability >= 0.5").select("ref_l", "ref_r", "probability"))
 
     def measure(e: DataFrame) -> DataFrame:
-        found = C.combined_clusters(people, exact, e, cut).withColumnRenamed("root", "cluster")
+        star = exact.filter("ref <> root").select(F.col("root").alias("anchor"), "ref")
+        found = C.components(people, star.unionByName(e.select(F.col("ref_l").alias("anchor"), F.col("ref_r").alias("ref"))), cut).withColumnRenamed("root", "cluster")
         return E.pair_metrics(found.join(truth, "ref")).crossJoin(e.agg(F.count("*").alias("merged_edges")))  # single rows
 
     return E.threshold_sweep(edges, [0.9, 0.95, 0.99, 0.999, 0.9999], measure)
@@ -190,7 +210,7 @@ def _worst_cluster(spark: SparkSession, d: str, k: DataFrame) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (exact_edges, exact_clusters, xref, golden_records, blocked_pairs, gamma_patterns, scored_pairs_fixed, band_split, em_parameters, unify_full, pair_metrics, tag_breakdown,
-              cluster_truth, threshold_sweep, review_export, record_trace, false_merge_trace, pair_metrics_all, tag_breakdown_all, cluster_truth_all, false_merge_trace_all, threshold_sweep_all)
+              cluster_truth, threshold_sweep, review_export, record_trace, false_merge_trace, pair_metrics_all, tag_breakdown_all, cluster_truth_all, false_merge_trace_all, threshold_sweep_all, unify_fixed, threshold_sweep_fixed)
 }
 
 
@@ -232,10 +252,32 @@ _GAMMA = _PAIRS + f""", gamma AS (SELECT ref_l, ref_r, {_jw('first_name_c')} AS
  {_eq('phone')} AS g_phone, {_eq('zip')} AS g_zip, {_eq('birth_year')} AS g_birth FROM pairs JOIN prof l ON l.ref = ref_l JOIN prof r ON r.ref = ref_r)"""
 _WEIGHT = f"ln({S.FIXED_PRIOR}/(1-{S.FIXED_PRIOR})) + " + " + ".join("CASE " + g + " " + " ".join(f"WHEN {i} THEN ln({a}::DOUBLE/{b}::DOUBLE)" for i, (a, b) in enumerate(zip(S.FIXED_M[g], S.FIXED_U[g]), 1)) + " ELSE 0 END" for g in S.LEVELS)
 
+# All records are clustered, then restricted to the known ones.
+_ALL = _KNOWN.replace(f"subset AS (SELECT p.* FROM people p JOIN truth USING (ref)), {_edges_sql('subset')}", _edges_sql("people")).replace("FROM subset s JOIN truth", "FROM people s JOIN truth")
+_SELF = f"ln({S.FIXED_PRIOR}/(1-{S.FIXED_PRIOR})) + " + " + ".join(f"CASE WHEN r.{c} IS NULL THEN 0 ELSE ln({S.FIXED_M[g][-1]}::DOUBLE/{S.FIXED_U[g][-1]}::DOUBLE) END" for g, c in zip(S.LEVELS, S.ATTRIBUTES))
+_SCORED = _GAMMA.replace("WITH people", "WITH RECURSIVE people", 1) + f""", scored AS (SELECT ref_l, ref_r, {_WEIGHT} AS w FROM gamma
+ UNION ALL SELECT p.ref, r.ref, {_SELF} FROM ready r JOIN prof p ON {' AND '.join(f'r.{c} IS NOT DISTINCT FROM p.{c}' for c in S.ATTRIBUTES)} AND r.ref <> p.ref),
+ prob AS (SELECT ref_l, ref_r, w, 1/(1+exp(-w)) AS p FROM scored), {_edges_sql('people')}, x AS (SELECT source_system || ':' || source_record_id AS ref, fan_id FROM fan_xref), truth AS (SELECT ref, min(ref) OVER (PARTITION BY fan_id) AS entity FROM x)"""
+_UNIFY = _SCORED + """, hit AS (SELECT * FROM prob WHERE w >= ln(0.9999/(1-0.9999))), tie AS (SELECT anchor AS v, ref AS u FROM edges UNION SELECT ref, anchor FROM edges UNION SELECT ref_l, ref_r FROM hit UNION SELECT ref_r, ref_l FROM hit),
+ walk AS (SELECT v, v AS o FROM tie UNION SELECT w.v, s.u FROM walk w JOIN tie s ON s.v = w.o), roots AS (SELECT v, min(o) AS root FROM walk GROUP BY 1),
+ exact AS (SELECT DISTINCT ref FROM (SELECT ref FROM edges UNION ALL SELECT anchor FROM edges)), best AS (SELECT ref, max(p) AS best FROM (SELECT ref_l AS ref, p FROM hit UNION ALL SELECT ref_r, p FROM hit) GROUP BY 1)
+ SELECT ref, coalesce(root, ref) AS root, CASE WHEN e.ref IS NOT NULL THEN 'deterministic' WHEN best IS NOT NULL THEN 'probabilistic' ELSE 'singleton' END AS method, CASE WHEN e.ref IS NULL THEN round(best, 6) END AS score
+ FROM people LEFT JOIN roots ON v = people.ref LEFT JOIN exact e USING (ref) LEFT JOIN best USING (ref)"""
+_SWEEP = _SCORED + """, t AS (SELECT unnest([0.9,0.95,0.99,0.999,0.9999])::DOUBLE AS threshold), hit AS (SELECT threshold, ref_l, ref_r FROM t JOIN prob ON p >= threshold),
+ tie AS (SELECT threshold, anchor AS v, ref AS u FROM edges, t UNION SELECT threshold, ref, anchor FROM edges, t UNION SELECT threshold, ref_l, ref_r FROM hit UNION SELECT threshold, ref_r, ref_l FROM hit),
+ walk AS (SELECT threshold, v, v AS o FROM tie UNION SELECT w.threshold, w.v, s.u FROM walk w JOIN tie s ON s.v = w.o AND s.threshold = w.threshold), roots AS (SELECT threshold, v, min(o) AS root FROM walk GROUP BY 1, 2),
+ known AS (SELECT t.threshold, ref, entity, coalesce(root, ref) AS cluster FROM truth JOIN people USING (ref) CROSS JOIN t LEFT JOIN roots ON roots.v = ref AND roots.threshold = t.threshold),
+ pc AS (SELECT threshold, sum(n*(n-1)/2)::BIGINT AS c, count(*) AS k FROM (SELECT threshold, cluster, count(*) AS n FROM known GROUP BY 1,2) GROUP BY 1), pe AS (SELECT threshold, sum(n*(n-1)/2)::BIGINT AS c, count(*) AS k FROM (SELECT threshold, entity, count(*) AS n FROM known GROUP BY 1,2) GROUP BY 1),
+ pb AS (SELECT threshold, sum(n*(n-1)/2)::BIGINT AS tp FROM (SELECT threshold, cluster, entity, count(*) AS n FROM known GROUP BY 1,2,3) GROUP BY 1), nh AS (SELECT threshold, count(*) AS merged_edges FROM hit GROUP BY 1)
+ SELECT threshold, tp, pc.c - tp AS fp, pe.c - tp AS fn, round(tp/pc.c,4) AS precision, round(tp/pe.c,4) AS recall, round(2*(tp/pc.c)*(tp/pe.c)/((tp/pc.c)+(tp/pe.c)),4) AS f1, pc.k AS predicted_clusters, pe.k AS true_clusters, merged_edges
+ FROM pb JOIN pc USING (threshold) JOIN pe USING (threshold) JOIN nh USING (threshold)"""
+
 _modal = lambda c: f"""m_{c} AS (SELECT fan_id, arg_max(v, row(n, f)) AS {c} FROM (SELECT fan_id, f, count(*) AS n, arg_max(v, row(length(v), v)) AS v FROM (SELECT fan_id, {_fold_sql(c)} AS f, {c} AS v FROM mem) WHERE f IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"""
 _MODAL = ["first_name", "last_name", "phone", "city", "state", "zip"]
 
 ORACLES = {
+    "unify_fixed": _UNIFY,
+    "threshold_sweep_fixed": _SWEEP,
     "exact_edges": f"WITH {_PEOPLE}, {_edges_sql('people')} SELECT anchor, ref FROM edges",
     "exact_clusters": _CLUSTERS + " SELECT ref, root FROM clusters",
     "xref": _CLUSTERS + " SELECT source_system, source_record_id, 'FAN-' || left(sha1(root),12) AS fan_id, CASE WHEN count(*) OVER (PARTITION BY root) > 1 THEN 'deterministic' ELSE 'singleton' END AS method FROM clusters JOIN people USING (ref)",
@@ -268,3 +310,5 @@ ORACLES = {
     "false_merge_trace": _KNOWN + """, worst AS (SELECT cluster, count(*) AS member_count, count(DISTINCT entity) AS true_entity_count FROM known GROUP BY 1 HAVING count(DISTINCT entity) > 1 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 1)
  SELECT ref, email, member_count, true_entity_count FROM known JOIN worst USING (cluster)""",
 }
+for _name in ("pair_metrics", "tag_breakdown", "false_merge_trace"):
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_KNOWN, _ALL)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordspark.operators.clusters import last_of
+from recordspark.operators.dimensions import number_rows
 from recordspark.runtime import Cut, table
 
 _T = table
@@ -15,7 +16,8 @@ def crossover_90d(spark: SparkSession, d: str) -> DataFrame:
     """Per month of first order: customers, and those with a line shipped within 90 days; cohorts whose window is not over are left out."""
     orders, lines = _T(spark, d, "orders"), _T(spark, d, "lineitem")
     first = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_at"))
-    ships = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("ck"), "l_shipdate")
+    # one row per customer and day: the exchange serves the greatest day and the match
+    ships = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("ck"), "l_shipdate").distinct()
     last = ships.agg(F.max("l_shipdate").alias("last_seen"))
     ninety = F.expr("interval 90 days")
     live = first.crossJoin(F.broadcast(last)).filter(F.col("first_at") + ninety <= F.col("last_seen"))
@@ -93,10 +95,10 @@ def dim_date_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dim_product_category(spark: SparkSession, d: str) -> DataFrame:
-    """Products with a category out of the name and a surrogate in key order; the dimension is small by its nature."""
+    """Products with a category out of the name and a surrogate in key order, numbered band by band."""
     p = _T(spark, d, "part").groupBy("p_name").agg(F.max("p_retailprice").alias("top_price"), F.min("p_brand").alias("brand"))
     cat = F.when(F.col("p_name").like("%ring%"), "jewellery").when(F.col("p_name").like("%widget%"), "hardware").when(F.col("brand").isin("Brand#1", "Brand#2"), "house").otherwise("other")
-    return p.select("p_name", "top_price", cat.alias("category"), F.row_number().over(Window.orderBy("p_name")).cast("bigint").alias("product_key"))
+    return number_rows(p.select("p_name", "top_price", cat.alias("category")), "p_name", "product_key", Cut(spark, "product"))
 
 
 def dim_match(spark: SparkSession, d: str) -> DataFrame:

@@ -81,11 +81,12 @@ def interval_seconds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def null_safe_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Records whose e-mail or zip is distinct from the subscriber's of that id, nulls comparing as values."""
-    s = last_of(_T(spark, d, "email_subscribers"), ["subscriber_id"], F.col("loaded_at").desc_nulls_first()).select("subscriber_id", F.col("email").alias("e"), F.col("zip").alias("z"))
-    r = _T(spark, d, "identity_records").filter("source_system = 'email'")
-    j = r.join(s, F.col("source_record_id") == F.col("subscriber_id"))
-    return j.filter(~F.col("email").eqNullSafe(F.col("e")) | ~F.col("zip").eqNullSafe(F.col("z"))).select("rec_id", (~F.col("email").eqNullSafe(F.col("e"))).alias("mail_differs"), (~F.col("zip").eqNullSafe(F.col("z"))).alias("zip_differs"))
+    """Dumps in which a fan's e-mail or zip is distinct from the fan's least one, nulls comparing as values."""
+    s = _T(spark, d, "fan_snapshots").filter("fan_id is not null")
+    least = s.groupBy(F.col("fan_id").alias("f")).agg(F.min("email").alias("e"), F.min("zip").alias("z"))
+    mail, zips = ~F.col("email").eqNullSafe(F.col("e")), ~F.col("zip").eqNullSafe(F.col("z"))
+    j = s.join(least, F.col("fan_id") == F.col("f")).filter(mail | zips)
+    return j.groupBy("fan_id", mail.alias("mail_differs"), zips.alias("zip_differs")).agg(F.count("*").alias("n"))
 
 
 def case_label_like_in(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +150,8 @@ ORACLES = {
  FROM match_pairs JOIN identity_records a ON a.rec_id=rec_l JOIN identity_records b ON b.rec_id=rec_r""",
     "date_parts": "SELECT o_orderkey, strftime(o_orderdate,'%Y%m%d')::INT AS date_key, strftime(o_orderdate,'%Y-%m') AS month_key, isodow(o_orderdate)::INT AS iso_dow, isodow(o_orderdate)>=6 AS is_weekend, o_orderdate::DATE+7 AS week_later, o_orderdate::DATE-7 AS week_before FROM orders",
     "interval_seconds": "SELECT event_id, loaded_at, epoch(loaded_at - occurred_at)::DOUBLE AS seconds, loaded_at <= occurred_at + INTERVAL 26 HOUR AS prompt FROM email_events WHERE loaded_at IS NOT NULL AND occurred_at IS NOT NULL",
-    "null_safe_diff": f"SELECT rec_id, r.email IS DISTINCT FROM s.email AS mail_differs, r.zip IS DISTINCT FROM s.zip AS zip_differs FROM identity_records r JOIN {_LAST_SUB} s ON source_record_id=subscriber_id WHERE source_system='email' AND (r.email IS DISTINCT FROM s.email OR r.zip IS DISTINCT FROM s.zip)",
+    "null_safe_diff": """WITH l AS (SELECT fan_id AS f, min(email) AS e, min(zip) AS z FROM fan_snapshots WHERE fan_id IS NOT NULL GROUP BY 1)
+ SELECT fan_id, email IS DISTINCT FROM e AS mail_differs, zip IS DISTINCT FROM z AS zip_differs, count(*) AS n FROM fan_snapshots JOIN l ON fan_id=f WHERE email IS DISTINCT FROM e OR zip IS DISTINCT FROM z GROUP BY 1,2,3""",
     "case_label_like_in": "SELECT CASE WHEN p_name LIKE '%ring' THEN 'ring' WHEN p_type IN ('ECONOMY','SMALL') THEN 'plain' ELSE 'other' END AS label, count(*) AS n, max(p_size) AS top_size FROM part GROUP BY 1",
     "row_compare": """WITH r AS (SELECT source_system s, source_record_id i, lower(email) email FROM identity_records WHERE email IS NOT NULL AND email<>''), m AS (SELECT email, min(row(s,i)) k FROM r GROUP BY 1)
  SELECT r.email, count(*) AS n_other FROM r JOIN m USING (email) WHERE row(r.s, r.i) <> m.k GROUP BY 1""",

@@ -65,12 +65,14 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def watermark_advance(spark: SparkSession, d: str) -> DataFrame:
-    """The change stamp up to which contacts are done: before the earliest rejected one. Payloads that are no objects have no stamp and are counted apart."""
+    """Per file the change stamp up to which its contacts are done: before the earliest rejected one; none where a rejected row has no stamp."""
     g = lambda k: F.get_json_object("payload", f"$.{k}")
-    rows = _T(spark, d, "raw_crm_contacts").filter("try_parse_json(payload) is not null and payload like '{\"%\"}'").select(g("SystemModstamp").alias("stamp"), g("Birthdate").alias("b"), g("Id").alias("id"))
-    rows = rows.filter(F.col("stamp").rlike(K.ISO_INSTANT))
-    ok = F.coalesce(F.startswith("id", F.lit("003")), F.lit(False)) & F.coalesce(F.col("b").rlike(K.ISO_DAY) | (F.col("b") == ""), F.lit(True))
-    return D.next_watermark(rows.withColumn("ok", ok), "stamp", F.col("ok"), "2020-01-01T00:00:00Z")
+    whole = F.expr("try_parse_json(payload) is not null and payload like '{\"%\"}'")
+    rows = _T(spark, d, "raw_crm_contacts").select("source_file", F.when(whole, g("SystemModstamp")).alias("s"), g("Birthdate").alias("b"), g("Id").alias("id"), g("LastName").alias("n"), g("Email").alias("e"))
+    stamp = F.when(F.col("s").rlike(K.ISO_INSTANT), F.col("s"))
+    given = lambda c, ok: F.coalesce(ok | (F.col(c) == ""), F.lit(True))
+    ok = F.coalesce(F.startswith("id", F.lit("003")), F.lit(False)) & F.coalesce(F.trim("n") != "", F.lit(False)) & given("b", F.col("b").rlike(K.ISO_DAY)) & given("e", F.col("e").rlike(r"@[^@]*\.[^@]*$"))
+    return D.next_watermark(rows.select("source_file", stamp.alias("stamp"), (ok & stamp.isNotNull()).alias("ok")), "stamp", F.col("ok"), "2020-01-01T00:00:00Z", "source_file")
 
 
 def _wire_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -131,9 +133,9 @@ def dq_fk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dq_cover(spark: SparkSession, d: str) -> DataFrame:
-    """Resolved records that the crosswalk lacks: none, and so no rows."""
-    r = _T(spark, d, "identity_records").filter("link_state = 'resolved'").select("source_system", "source_record_id")
-    return Q.orphans(r, _T(spark, d, "fan_xref"), ["source_system", "source_record_id"])
+    """Records that the crosswalk lacks, by system and state; no resolved one is among them."""
+    r = _T(spark, d, "identity_records").select("source_system", "source_record_id", "link_state")
+    return Q.orphans(r, _T(spark, d, "fan_xref"), ["source_system", "source_record_id"]).groupBy("source_system", "link_state").agg(F.count("*").alias("n"))
 
 
 def dq_orphans_with_measures(spark: SparkSession, d: str) -> DataFrame:
@@ -223,9 +225,11 @@ ORACLES = {
     "append_only_fact": """WITH f AS (SELECT * FROM email_events WHERE occurred_at < TIMESTAMP '2025-06-01' QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY loaded_at)=1), l AS (SELECT * FROM email_events WHERE occurred_at >= TIMESTAMP '2025-05-01' QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY loaded_at)=1)
  SELECT strftime(occurred_at,'%Y-%m') AS month, event_type, count(*) AS n FROM (SELECT * FROM f UNION ALL SELECT * FROM l WHERE event_id NOT IN (SELECT event_id FROM f)) GROUP BY 1,2""",
     "upsert_latest": "SELECT source_file, CASE WHEN count(*) > 50 THEN max(loaded_at) ELSE max(loaded_at) - INTERVAL 1 DAY END AS seen_at, count(*) AS n FROM ticketing_orders GROUP BY 1",
-    "watermark_advance": r"""WITH r AS (SELECT json_extract_string(payload,'$.SystemModstamp') AS s, json_extract_string(payload,'$.Birthdate') AS b, json_extract_string(payload,'$.Id') AS i FROM raw_crm_contacts WHERE json_valid(payload) AND payload LIKE '{"%"}' AND NOT regexp_matches(payload, ':\s*-?(NaN|Infinity)')),
- o AS (SELECT s, coalesce(starts_with(i,'003'),false) AND coalesce(regexp_full_match(b,'[0-9]{4}-[0-9]{2}-[0-9]{2}') OR b='',true) AS ok FROM r WHERE regexp_full_match(s,'[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z')), c AS (SELECT min(s) AS ceiling FROM o WHERE NOT ok),
- t AS (SELECT max(s) AS top FROM o, c WHERE ok AND (ceiling IS NULL OR s < ceiling)) SELECT CASE WHEN top > '2020-01-01T00:00:00Z' THEN top END AS watermark FROM t""",
+    "watermark_advance": r"""WITH r AS (SELECT source_file, json_valid(payload) AND payload LIKE '{"%"}' AND NOT regexp_matches(payload, ':\s*-?(NaN|Infinity)') AS whole, payload FROM raw_crm_contacts),
+ f AS (SELECT source_file, CASE WHEN whole THEN json_extract_string(payload,'$.SystemModstamp') END AS s, CASE WHEN whole THEN json_extract_string(payload,'$.Birthdate') END AS b, CASE WHEN whole THEN json_extract_string(payload,'$.Id') END AS i, CASE WHEN whole THEN json_extract_string(payload,'$.LastName') END AS n, CASE WHEN whole THEN json_extract_string(payload,'$.Email') END AS e FROM r),
+ o AS (SELECT source_file, CASE WHEN regexp_full_match(s,'[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') THEN s END AS stamp, coalesce(starts_with(i,'003'),false) AND coalesce(trim(n)<>'',false) AND coalesce(regexp_full_match(b,'[0-9]{4}-[0-9]{2}-[0-9]{2}') OR b='',true) AND coalesce(regexp_matches(e,'@[^@]*\.[^@]*$') OR e='',true) AS good FROM f),
+ v AS (SELECT source_file, stamp, good AND stamp IS NOT NULL AS ok FROM o), c AS (SELECT source_file, min(stamp) FILTER (WHERE NOT ok) AS ceiling, count(*) FILTER (WHERE NOT ok AND stamp IS NULL) AS blind FROM v GROUP BY 1),
+ t AS (SELECT c.source_file, max(stamp) FILTER (WHERE ok AND blind=0 AND (ceiling IS NULL OR stamp < ceiling)) AS top FROM c JOIN v USING (source_file) GROUP BY 1) SELECT source_file, CASE WHEN top > '2020-01-01T00:00:00Z' THEN top END AS watermark FROM t""",
     "contract_reasons": f"WITH {_WIRE} SELECT CASE WHEN len(r)=0 THEN 'accepted' ELSE array_to_string(r,'; ') END AS reason, count(*) AS n FROM w GROUP BY 1",
     "quarantine_split": f"WITH {_WIRE} SELECT source_file, count(*) FILTER (WHERE len(r)=0) AS accepted, count(*) FILTER (WHERE len(r)>0) AS quarantined FROM w GROUP BY 1",
     "whole_file_reject": "SELECT source_file, count(*) AS n, CASE WHEN regexp_matches(source_file,'[02468].jsonl$') THEN count(*) ELSE 0 END AS missing FROM ticketing_orders GROUP BY 1",
@@ -234,7 +238,7 @@ ORACLES = {
     "dq_unique": "SELECT 'ticketing_orders' AS tbl, order_id AS key, count(*) AS n FROM ticketing_orders GROUP BY 2 HAVING count(*)>1 UNION ALL SELECT 'email_subscribers', subscriber_id, count(*) FROM email_subscribers GROUP BY 2 HAVING count(*)>1 UNION ALL SELECT 'email_events', event_id, count(*) FROM email_events GROUP BY 2 HAVING count(*)>1",
     "dq_reconcile": "WITH b AS (SELECT * FROM ticketing_orders QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY loaded_at DESC)=1), x AS (SELECT (SELECT count(*) FROM ticketing_orders) AS rows_a, (SELECT sum(total::DECIMAL(18,2))::DOUBLE FROM ticketing_orders) AS sum_a, (SELECT count(*) FROM b) AS rows_b, (SELECT sum(total::DECIMAL(18,2))::DOUBLE FROM b) AS sum_b) SELECT * FROM x WHERE rows_a IS DISTINCT FROM rows_b OR sum_a IS DISTINCT FROM sum_b",
     "dq_fk": "SELECT DISTINCT order_id, match_id FROM ticketing_orders o WHERE match_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fixtures f WHERE f.match_id=o.match_id)",
-    "dq_cover": "SELECT source_system, source_record_id FROM identity_records r WHERE link_state='resolved' AND NOT EXISTS (SELECT 1 FROM fan_xref x WHERE x.source_system=r.source_system AND x.source_record_id=r.source_record_id)",
+    "dq_cover": "SELECT source_system, link_state, count(*) AS n FROM identity_records r WHERE NOT EXISTS (SELECT 1 FROM fan_xref x WHERE x.source_system=r.source_system AND x.source_record_id=r.source_record_id) GROUP BY 1, 2",
     "dq_orphans_with_measures": "SELECT campaign_id, count(*) AS n_events, count(DISTINCT subscriber_id) AS n_subscribers FROM email_events e WHERE subscriber_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM email_subscribers s WHERE s.subscriber_id=e.subscriber_id) GROUP BY 1",
     "dq_freshness": "SELECT * FROM (SELECT 'ticketing_orders' AS tbl, max(loaded_at) AS latest FROM ticketing_orders UNION ALL SELECT 'email_events', max(loaded_at) FROM email_events UNION ALL SELECT 'fixtures', max(loaded_at) FROM fixtures) WHERE latest IS NULL OR latest < TIMESTAMP '2026-08-15' - INTERVAL 26 HOUR",
     "dq_quarantine_rate": f"WITH {_WIRE}, c AS (SELECT 'ticketing_orders' AS source, count(*) FILTER (WHERE len(r)=0) AS landed, count(*) FILTER (WHERE len(r)>0) AS quarantined FROM w) SELECT * FROM c WHERE quarantined > 0.01*(landed+quarantined)",

@@ -8,8 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | None = None, app: str = "recordspark") -> SparkSession:
-    """A local session; on a cluster the caller's own session is used as it is."""
+    """A local session; under spark-submit the master and sizes that it was given are kept."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit
+        return SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     return (
         SparkSession.builder.master(f"local[{n}]")
         .appName(app)
