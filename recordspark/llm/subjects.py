@@ -98,10 +98,9 @@ class SubjectModel:
 
     def subjects(self, about: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
         """docs x subjects: whether at least SHARE of the document's subject sentences are about the subject."""
-        n, total = np.zeros((docs, len(self.names))), np.zeros(docs)
         row, label = np.nonzero(about)
-        np.add.at(n, (doc[row], label), 1)
-        np.add.at(total, doc[about.any(axis=1)], 1)
+        n = np.bincount(doc[row] * len(self.names) + label, minlength=docs * len(self.names)).reshape(docs, len(self.names))
+        total = np.bincount(doc[about.any(axis=1)], minlength=docs)
         return (n > 0) & (n >= SHARE * total[:, None] - 1e-9)
 
 
