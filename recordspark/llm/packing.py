@@ -26,6 +26,8 @@ from recordspark.runtime import Cut
 
 SHARDS = 64
 MAX_LIMITS = 100
+MAX_SINCE, MANY = 6, 1 << 20  # tables and rows placed since the last table of gaps
+EACH = 3  # sweeps between two collections of the driver's garbage
 OUT = "limit_id int, doc_id long, piece int, start_token long, n_tokens long, container_id string"
 
 
@@ -56,14 +58,16 @@ def _shard(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(SHARDS)).cast("int")
 
 
-def sweep(items: DataFrame, gaps: DataFrame, lower: dict[int, int], upper: dict[int, int]) -> DataFrame:
+def sweep(items: DataFrame, gaps: DataFrame, lower: dict[int, int], upper: dict[int, int], per: dict[int, int] | None = None, first: dict[int, int] | None = None) -> DataFrame:
     """The items with `gap_id`, the tightest gap that takes each and no larger one has taken; null where there is none.
 
     items: limit_id, doc_id, piece, start, size; gaps: limit_id, gap_id, room. Items of a limit are over `lower` and at
-    most `upper`; a gap of at least twice `upper` offers as many slots as it has room for such items.
+    most `upper`; a gap of at least twice `upper` offers as many slots as it has room for such items. With `per` and
+    `first`, the items of a limit of which no gap takes any open containers, numbered from `first`; `per` of them share
+    one, in order of size.
     """
     k = F.greatest(F.lit(1), F.floor(F.col("room") / _by_limit(upper))).cast("int")
-    slots = gaps.filter(F.col("limit_id").isin(list(lower)) & (F.col("room") > _by_limit(lower))).withColumn("k", k)
+    slots = gaps.filter(F.col("room") > _by_limit(lower)).withColumn("k", k)  # no bound: not in work
     slots = slots.select("limit_id", F.floor(F.col("room") / F.col("k")).alias("size"), F.lit(0).alias("is_item"), _shard(F.col("gap_id")).alias("shard"), F.col("gap_id").alias("id"), F.explode(F.sequence(F.lit(1), F.col("k"))).alias("piece"), F.lit(None).cast("long").alias("start"))
     rows = slots.unionByName(items.select("limit_id", "size", F.lit(1).alias("is_item"), _shard(F.col("doc_id")).alias("shard"), F.col("doc_id").alias("id"), "piece", "start"))
     part = ["limit_id", "size", "is_item", "shard"]
@@ -73,37 +77,38 @@ def sweep(items: DataFrame, gaps: DataFrame, lower: dict[int, int], upper: dict[
     step = F.when(F.col("is_item") == 0, F.col("n")).otherwise(-F.col("n"))
     counts = counts.withColumn("after", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     lowest = F.min("after").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*part, (F.col("after") - step - F.least(F.lit(0), F.coalesce(lowest, F.lit(0)))).alias("depth"))
+    counts = counts.withColumn("failed", -F.least(F.lit(0), F.coalesce(lowest, F.lit(0))))  # items before that no gap takes
+    counts = counts.select(*part, "failed", (F.col("after") - step + F.col("failed")).alias("depth"))
+    if per:
+        stuck = F.max(F.when(F.col("is_item") == 1, F.col("depth"))).over(Window.partitionBy("limit_id")) == 0
+        counts = counts.withColumn("failed", F.when(stuck, F.col("failed")))
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("id", "piece"))).join(counts, part)
     level = F.when(F.col("is_item") == 0, F.col("depth") + F.col("r")).otherwise(F.col("depth") - F.col("r") + 1)
     stack = Window.partitionBy("limit_id", "level").orderBy(*order)  # each size and part touches a level once
     met = ranked.withColumn("level", level).withColumn("gap_id", F.lag(F.when(F.col("is_item") == 0, F.col("id"))).over(stack))
-    return met.filter("is_item = 1").select("limit_id", F.col("id").alias("doc_id"), "piece", "start", "size", F.when(F.col("level") > 0, F.col("gap_id")).alias("gap_id"))
+    gap = F.when(F.col("level") > 0, F.col("gap_id"))
+    if per:
+        gap = gap.when(F.col("failed").isNotNull(), F.floor((F.col("failed") + F.col("r") - 1) / _by_limit(per)).cast("long") + _by_limit(first))
+    return met.filter("is_item = 1").select("limit_id", F.col("id").alias("doc_id"), "piece", "start", "size", gap.alias("gap_id"))
 
 
-def opened(items: DataFrame, per: dict[int, int], first: dict[int, int], cut: Cut) -> DataFrame:
-    """The items with `gap_id`, the number of a new container; `per` items of a limit share one, in order of size."""
-    rows = items.withColumn("shard", _shard(F.col("doc_id")))
-    part = ["limit_id", "size", "shard"]
-    counts = rows.groupBy(*part).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("limit_id").orderBy(F.col("size").desc(), "shard").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("doc_id", "piece"))).join(counts.select(*part, F.coalesce(before, F.lit(0)).alias("before")), part)
-    number = F.floor((F.col("before") + F.col("r") - 1) / _by_limit(per)).cast("long") + _by_limit(first)
-    return ranked.select("limit_id", "doc_id", "piece", "start", "size", number.alias("gap_id"))
-
-
-def _room_left(gaps: DataFrame | None, placed: DataFrame, caps: dict[int, int]) -> DataFrame:
+def _room_left(gaps: DataFrame, placed: DataFrame | None, caps: dict[int, int]) -> DataFrame:
     """The gaps after these items were placed; containers that are not among the gaps are new."""
-    used = placed.groupBy("limit_id", "gap_id").agg(F.sum("size").alias("used"))
-    if gaps is None:
-        return used.select("limit_id", "gap_id", (_by_limit(caps) - F.col("used")).cast("long").alias("room")).filter("room > 0")
-    met = gaps.join(used, ["limit_id", "gap_id"], "full_outer")
+    if placed is None:
+        return gaps
+    rows = gaps.withColumn("size", F.lit(None).cast("long")).unionByName(placed.filter("gap_id is not null").select("limit_id", "gap_id", F.lit(None).cast("long").alias("room"), "size"))
+    left = rows.groupBy("limit_id", "gap_id").agg(F.max("room").alias("room"), F.sum("size").alias("used"))
     room = F.coalesce("room", _by_limit(caps)) - F.coalesce("used", F.lit(0))
-    return met.select("limit_id", "gap_id", room.cast("long").alias("room")).filter("room > 0")
+    return left.select("limit_id", "gap_id", room.cast("long").alias("room")).filter("room > 0")
 
 
 def best_fit(items: DataFrame, caps: dict[int, int], cut: Cut) -> DataFrame | None:
-    """limit_id, doc_id, piece, start, size and gap_id of every item (none larger than its limit's capacity)."""
+    """limit_id, doc_id, piece, start, size and gap_id of every item (none larger than its limit's capacity).
+
+    A sweep is one query: the gaps are summed up where they are read, from the last table of gaps and what was placed
+    since. The limits in work and their bounds are looked up in maps, which Spark passes to the code of a stage as data, so
+    sweeps whose plans have the same shape share their compiled code. The driver holds threads, classes and plans by query.
+    """
     classes = {i: class_bounds(c) for i, c in caps.items()}
     index = F.lit(0)
     for i, bounds in classes.items():
@@ -115,50 +120,49 @@ def best_fit(items: DataFrame, caps: dict[int, int], cut: Cut) -> DataFrame | No
         waiting.setdefault(r["limit_id"], {})[r["class"]] = r["n"]
     at: dict[int, int] = {}  # the class that a limit works on
     next_id = dict.fromkeys(caps, 0)
-    gaps, rest, done = None, None, []  # rest: items of the classes in work that found no gap so far
+    rest, done = None, []  # rest: items of the classes in work that found no gap so far
+    gaps, since, n_since = cut.spark.createDataFrame([], "limit_id int, gap_id long, room long"), [], 0
+    sweeps = 0
 
-    def enter(i: int) -> Column | None:
+    def enter(i: int) -> bool:
         if not waiting.get(i):
             at.pop(i, None)
-            return None
+            return False
         at[i] = min(waiting[i])
         waiting[i].pop(at[i])
-        return (F.col("limit_id") == i) & (F.col("class") == at[i])
+        return True
 
-    fresh = [c for i in caps if (c := enter(i)) is not None]
+    own = lambda i, x: F.when(F.col("limit_id") == i, x)
+    watched = [F.count(own(i, F.when(F.col("gap_id").isNull(), 1))).alias(f"left_{i}") for i in caps]
+    watched += [F.max(own(i, F.col("gap_id"))).alias(f"last_{i}") for i in caps] + [F.count("gap_id").alias("placed")]
+    fresh = [i for i in caps if enter(i)]
     while at:
-        new = todo.filter(_any(fresh)).drop("class") if fresh else None
+        new = todo.filter(F.col("class") == _by_limit({i: at[i] for i in fresh})).drop("class") if fresh else None
         items = new if rest is None else rest if new is None else rest.unionByName(new)
         lower = {i: (classes[i][c + 1] if c + 1 < len(classes[i]) else 0) for i, c in at.items()}
         upper = {i: classes[i][c] for i, c in at.items()}
-        own = lambda i, hit: F.count_if((F.col("limit_id") == i) & (F.col("gap_id").isNotNull() if hit else F.col("gap_id").isNull())).alias(f"{'hit' if hit else 'left'}_{i}")
-        swept = cut.table(items.withColumn("gap_id", F.lit(None).cast("long")) if gaps is None else sweep(items, gaps, lower, upper), seen=[own(i, hit) for i in at for hit in (True, False)])
-        seen = {i: (swept.seen[f"hit_{i}"], swept.seen[f"left_{i}"]) for i in at}
-        stuck = {i: left for i, (hit, left) in seen.items() if left and not hit}
-        placed = [swept] if any(hit for hit, _ in seen.values()) else []
-        if stuck:  # the sweep is complete: what no gap takes opens containers
-            per = {i: max(1, caps[i] // upper[i]) for i in stuck}
-            alone = cut.table(opened(swept.filter(F.col("limit_id").isin(list(stuck)) & F.col("gap_id").isNull()).drop("gap_id"), per, {i: next_id[i] for i in stuck}, cut))
-            placed.append(alone)
-            for i, n in stuck.items():
-                next_id[i] += -(-n // per[i])
-        done += placed
-        before, gaps = gaps, cut.table(_room_left(gaps, cut.together(placed).filter("gap_id is not null"), caps))
-        cut.drop(before)
-        finished = [i for i in at if i in stuck or not seen[i][1]]
-        open_limits = [i for i in at if i not in finished]
-        rest = swept.filter(F.col("limit_id").isin(open_limits) & F.col("gap_id").isNull()).drop("gap_id") if open_limits else None
-        fresh = [c for i in finished if (c := enter(i)) is not None]
+        per = {i: max(1, caps[i] // upper[i]) for i in at}
+        room = _room_left(gaps, cut.together(since) if since else None, caps)
+        if len(since) >= MAX_SINCE or n_since > MANY:
+            before, gaps, since, n_since = gaps, cut.table(room), [], 0
+            cut.drop(before)
+            room = gaps
+        sweeps += 1
+        if sweeps % EACH == 0:
+            cut.release()
+        swept = cut.table(sweep(items, room, lower, upper, per, {i: next_id[i] for i in at}), seen=watched)
+        if swept.seen["placed"]:
+            done.append(swept)
+            since.append(swept)
+            n_since += swept.seen["placed"]
+        for i in at:  # a limit whose sweep is complete has opened containers for what no gap takes
+            next_id[i] = max(next_id[i], (-1 if swept.seen[f"last_{i}"] is None else swept.seen[f"last_{i}"]) + 1)
+        finished = [i for i in at if not swept.seen[f"left_{i}"]]
+        rest = swept.filter("gap_id is null").drop("gap_id") if len(finished) < len(at) else None
+        fresh = [i for i in finished if enter(i)]
     return cut.together(done).filter("gap_id is not null") if done else None
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
-
-
 def read_limits(limits: DataFrame) -> dict[int, int]:
     rows = limits.filter("limit_id is not null and capacity_tokens > 0").groupBy("limit_id").agg(F.min("capacity_tokens").alias("c")).orderBy("limit_id").limit(MAX_LIMITS + 1).collect()
     if len(rows) > MAX_LIMITS:

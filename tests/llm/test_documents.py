@@ -66,6 +66,28 @@ def test_a_million_documents_send_only_counts_to_the_driver(spark, cut, monkeypa
     assert max(most) <= 20
 
 
+def test_a_sweep_is_one_query(spark, cut, monkeypatch):
+    """What the driver holds of plans, classes and threads grows with the queries."""
+    plain, sweeps = packing.sweep, []
+    monkeypatch.setattr(packing, "sweep", lambda *a: (sweeps.append(1), plain(*a))[1])
+    rows = [(1, k, 0, 0, int(x)) for k, x in enumerate(np.random.default_rng(5).integers(1, 20, 300))]
+    got = packing.best_fit(spark.createDataFrame(rows, "limit_id int, doc_id long, piece int, start long, size long"), {1: 20}, cut).collect()
+    load = {}
+    for r in got:
+        load[r.gap_id] = load.get(r.gap_id, 0) + r.size
+    assert sorted((r.doc_id, r.size) for r in got) == [(k, x) for _, k, _, _, x in rows] and max(load.values()) <= 20
+    assert cut.n <= len(sweeps) * 7 / 6 + 2
+
+
+def test_a_sweep_opens_containers_where_it_is_complete(spark):
+    items = spark.createDataFrame([(i, k, 0, 0, s) for i in (1, 2) for k, s in enumerate([5, 5, 4, 3, 3])], "limit_id int, doc_id long, piece int, start long, size long")
+    gaps = spark.createDataFrame([(1, 10, 2), (2, 11, 5)], "limit_id int, gap_id long, room long")
+    got = packing.sweep(items, gaps, {1: 1, 2: 1}, {1: 5, 2: 5}, {1: 2, 2: 2}, {1: 20, 2: 30}).collect()
+    by = {i: sorted(((r["size"], r.gap_id) for r in got if r.limit_id == i), key=str) for i in (1, 2)}
+    assert by[1] == [(3, 21), (3, 22), (4, 21), (5, 20), (5, 20)]  # no gap takes any
+    assert [g for _, g in by[2] if g is not None] == [11] and len(by[2]) == 5  # one was taken: another sweep is to come
+
+
 def test_packing_is_whole(spark, cut):
     long = " ".join(f"word{i}" for i in range(3000))
     d = docs(spark, [(1, long, None), (2, "", None), (3, None, None), (4, "a short one", None), (4, "a short one", None), (5, "a short one", None)])
